@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The mix: web-like sources (numbers divisible by 4) count double, English and French over German and Spanish.
+DOMAINS = ("web", "books", "code", "news")
+MIX_WEIGHTS = {("web",): 4, ("books",): 3, ("code",): 1, ("news",): 2} | {(d, x): w for d in DOMAINS for x, w in (("en", 4), ("fr", 2), ("de", 2), ("es", 1))}
+MIX_RATIO, MIX_EPOCHS, MIX_SEED = 0.5, 2, 17
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+def domain_of(source: Column) -> Column:
+    """The synthetic corpus has no domains; a source's number, modulo 4, stands for one."""
+    number = F.coalesce(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (number % 4 + 1).cast("int"))
+
+
+def op1_mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_RATIO, MIX_EPOCHS, MIX_SEED, domain_of(F.col("source")))
+    return mixed.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"))
+
+
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_sharding_permutation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -22,9 +51,56 @@ def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_budgets": op1_mixing_budgets,
+    "op2_quality_discriminant": op2_quality_discriminant,
+    "op5_sharding_permutation_table": op5_sharding_permutation_table,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_prefix_decontamination": op8_prefix_decontamination,
 }
 
+
+def _mix_levels() -> str:
+    """One level of the tree after the other: capacities, weights and shares as in mixing.fill."""
+    weight = lambda k, names: " ".join(["CASE", *(f"WHEN {' AND '.join(f'{n} = {chr(39)}{v}{chr(39)}' for n, v in zip(names, p, strict=True))} THEN {w}" for p, w in MIX_WEIGHTS.items() if len(p) == k + 1), "WHEN true THEN 1 END"])
+    out, above = [], None
+    for k in range(3):
+        names = list(mixing.LEVELS[: k + 1])
+        by, family = ", ".join(names), f"PARTITION BY {', '.join(names[:-1])}" if k else ""
+        goal = f"(SELECT CAST(sum(tokens) * {MIX_RATIO} AS BIGINT) FROM leaves)" if above is None else "b.share"
+        join = "" if above is None else f" JOIN level{k - 1} b USING ({', '.join(names[:-1])})"
+        out.append(f"""
+nodes{k} AS (SELECT {', '.join('n.' + x for x in names)}, n.capacity, n.weight, {goal} AS budget FROM (
+  SELECT {by}, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS capacity, {weight(k, names)} AS weight FROM leaves WHERE tokens > 0 GROUP BY ALL) n{join}),
+ordered{k} AS (SELECT *, budget - (sum(capacity) OVER ahead - capacity) AS remains, sum(weight) OVER ({family}) - sum(weight) OVER ahead + weight AS beside
+  FROM nodes{k} WINDOW ahead AS ({family} ORDER BY capacity::DOUBLE / weight, {names[-1]} ROWS UNBOUNDED PRECEDING)),
+level{k} AS (SELECT {by}, capacity, CAST(greatest(0, least(capacity, floor(max(remains::DOUBLE / beside) OVER ({family}) * weight))) AS BIGINT) AS share FROM ordered{k})""")
+        above = k
+    return ",".join(out)
+
+
+ORACLE_OP1 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+    (['web', 'books', 'code', 'news'])[coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4 + 1] AS domain
+  FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL),
+{_mix_levels()},
+goals AS (SELECT domain, lang, source, share // tokens AS whole, share - share // tokens * tokens AS rest FROM level2 JOIN leaves USING (domain, lang, source)),
+epochs AS (SELECT docs.*, whole, rest, e.epoch,
+    CAST('0x' || substr(md5('{MIX_SEED}:' || e.epoch || ':' || doc_id), 1, 15) AS BIGINT) AS key
+  FROM docs JOIN goals USING (domain, lang, source), (SELECT unnest(range({MIX_EPOCHS + 1})) AS epoch) e WHERE e.epoch <= whole),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM epochs)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, epoch, CAST(n_tokens AS BIGINT) AS n_tokens FROM summed WHERE epoch < whole OR (rest > 0 AND upto <= rest)
+"""
+
+ORACLE_OP5 = f"""
+SELECT doc_id, slot, ({sharding.lookup_table(SHARDS)})[slot + 1] AS shard FROM (
+  SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
+"""
+
 #: Queries that SQL can't express over whole tables have none; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_mixing_budgets": ORACLE_OP1,
+    "op5_sharding_permutation_table": ORACLE_OP5,
+}
