@@ -1,15 +1,63 @@
-"""The corpus pipeline: STAGES over documents."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again as the next one's docs.
+
+Quality classifier, near-duplicates, benchmark decontamination, mixing, sharding. The order puts what drops most, and
+costs a scan only, first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm import decontaminate, mixing, quality, sharding, simhash
+from tidewheel.llm.common import cut, without
+from tidewheel.llm.queries import MIX_SEED, MIX_WEIGHTS, SHARDS, domain_of, table
+
+#: The mix keeps this share of the words that reach it, and takes no document twice.
+MIX_RATIO, MIX_EPOCHS = 0.8, 1
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant, fitted on the labelled ones outside the held-out fifth, gives 0.3 or more."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out())))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated").select("doc_id", "digest"))
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the budgets of the domain-language-source tree select, once each."""
+    return mixing.mix(docs, MIX_WEIGHTS, MIX_RATIO, MIX_EPOCHS, MIX_SEED, domain_of(F.col("source"))).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its slot and shard."""
+    return sharding.place(docs, SHARDS)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", target_mix),
+    ("sharding", shards),
+]
 
-STAGES: list = []
+#: The classifier and the fingerprints are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

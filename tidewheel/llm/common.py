@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python stage handles at once, so that its memory doesn't follow the batch.
 SLICE_BYTES = 2 << 20
+#: Bits of a bitmap that goes to all executors: 4 MB, whatever the tables' size.
+BITMAP_BITS = 1 << 25
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -84,6 +88,54 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, target)
 
 
+def bitmap(keys: DataFrame) -> bytes:
+    """BITMAP_BITS bits, on where a ``key`` (long) modulo their number falls; they reach the driver in pieces of 4 KB."""
+    place = F.pmod("key", F.lit(BITMAP_BITS))
+    pieces = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    bits = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
+    for row in pieces.toLocalIterator():
+        # bucket b holds the places (b - 1) * 32768 + 1 to b * 32768, the first at bit 0
+        start = (row.b - 1) * 4096
+        raw = np.frombuffer(bytes(row.bits), np.uint8)
+        if start < 0:  # place 0 alone falls below bucket 1
+            bits[-1] |= 1
+        else:
+            bits[start : start + len(raw)] |= raw
+    return bits.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    at = np.where(place == 0, 0, place - 1)
+    got = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    return np.where(place == 0, bits[-1] & 1, got).astype(bool)
+
+
 def md5_long(value: Column) -> Column:
     """The first 60 bits of a string's MD5, which other SQL engines compute alike."""
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def digest(text: str = "text") -> Column:
+    """64 bits of a text. With the id they name a row, up to rows that are equal in both."""
+    return F.xxhash64(F.col(text))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, digest of text) isn't in ``gone`` (doc_id, digest); nulls equal each other.
+
+    A bitmap of fixed size tells for most of the rows that stay, in the scan, that they aren't in ``gone``; only the others
+    are shuffled to the join.
+    """
+    marks = cut(gone.select(F.col("doc_id").cast("long").alias("__id"), F.col("digest").alias("__digest")).distinct())
+    mark = F.xxhash64(F.col("doc_id").cast("long"), digest())
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.xxhash64("__id", "__digest").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys):
+        return pd.Series(in_bitmap(np.frombuffer(bits.value, np.uint8), keys.to_numpy(np.int64).view(np.uint64)))
+
+    marked = docs.withColumn("__maybe", maybe(mark))
+    rest = marked.where("__maybe").drop("__maybe")
+    kept = rest.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest() == F.col("__digest")), "left_anti")
+    return marked.where("not __maybe").drop("__maybe").unionByName(kept)

@@ -19,12 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import bitmap, cut, digest, in_bitmap, map_texts
 
 #: Letters A-Z fall to a-z; other ASCII but letters and digits separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Bits of the bitmap that goes to all executors: 4 MB, whatever the benchmark's size.
-BITMAP_BITS = 1 << 25
 WINDOW, SHINGLE = 10, 5
 
 
@@ -66,29 +64,6 @@ def _shingles(frame: DataFrame, words: str, *keep: str) -> DataFrame:
     )
 
 
-def _bitmap(spark, keys: DataFrame) -> bytes:
-    """BITMAP_BITS bits, on where a key modulo their number falls; at most 32 KB pieces of it reach the driver."""
-    place = F.pmod("key", F.lit(BITMAP_BITS))
-    pieces = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
-    for row in pieces.toLocalIterator():
-        # bucket b holds the places (b - 1) * 32768 + 1 to b * 32768, the first at bit 0
-        start = (row.b - 1) * 4096
-        raw = np.frombuffer(bytes(row.bits), np.uint8)
-        if start < 0:  # place 0 alone falls below bucket 1
-            bits[-1] |= 1
-        else:
-            bits[start : start + len(raw)] |= raw
-    return bits.tobytes()
-
-
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    at = np.where(place == 0, 0, place - 1)
-    got = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return np.where(place == 0, bits[-1] & 1, got).astype(bool)
-
-
 def runs_of(hit: np.ndarray, least: int) -> list[tuple[int, int]]:
     """First and last place of each run of at least ``least`` hits."""
     edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
@@ -102,10 +77,10 @@ def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     # the longest shingle size is fixed, so these are a handful of numbers
     needs = [(r.g, r.least) for r in windows.groupBy("g").agg(F.min(F.expr("m - g + 1")).alias("least")).collect()]
     shingles = _shingles(windows.withColumn("words", F.split("window", " ")), "words", "window")
-    bitmap = spark.sparkContext.broadcast(_bitmap(spark, shingles.select("key")))
+    mask = spark.sparkContext.broadcast(bitmap(shingles.select("key")))
 
     def work(cols: dict) -> dict:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(mask.value, np.uint8)
         counts, runs = [], []
         for text in cols["text"]:
             found = text.translate(WORD_BYTES).split()
@@ -116,9 +91,9 @@ def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     mine += [{"start": a, "g": g, "text": b" ".join(found[a : b + g]).decode()} for a, b in runs_of(hit, least)]
             counts.append(len(found))
             runs.append(mine)
-        return {"doc_id": cols["doc_id"], "n_words": counts, "runs": runs}
+        return {"doc_id": cols["doc_id"], "digest": cols["digest"], "n_words": counts, "runs": runs}
 
-    found = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_words long, runs array<struct<start:int,g:int,text:string>>")
+    found = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text"), work, "doc_id long, digest long, n_words long, runs array<struct<start:int,g:int,text:string>>")
     return cut(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -126,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Which words of each document lie in an occurrence of a window of a benchmark item.
 
     Returns one row per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (the item_ids as
-    strings, sorted), ``contaminated``. Words: A-Z lower-cased, runs of ASCII letters, digits and characters beyond
+    strings, sorted), ``contaminated``, ``digest`` (of the text). Words: A-Z lower-cased, runs of ASCII letters, digits and characters beyond
     ASCII.
 
     Null and wordless texts have no words and no hits; null and wordless items have no windows; an item without an id
@@ -161,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
     owned = hits.select("rid", "window").distinct().join(owners, "window").groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return (
-        each.select("rid", "doc_id", "n_words").join(covered.join(owned, "rid"), "rid", "left")
+        each.select("rid", "doc_id", "digest", "n_words").join(covered.join(owned, "rid"), "rid", "left")
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "rid")
+        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "digest")
     )

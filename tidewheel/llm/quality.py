@@ -16,6 +16,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +163,16 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; nothing is shuffled."""
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        return pd.Series(model.scores(np.array([statistics((t or "").encode()) for t in texts])) if len(texts) else [])
+
+    return docs.where(scored(F.coalesce("text", F.lit(""))) >= threshold)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no fit of the registered query sees: crc32 of the id as text, modulo 5, is 0. Without an id: not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

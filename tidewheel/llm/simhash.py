@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, digest, map_texts, without
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -128,15 +128,16 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row; null or wordless texts: 0."""
+    """``doc_id``, ``digest`` (of the text) and ``fp`` (the fingerprint as a signed long) of every row; null or wordless
+    texts: 0."""
 
     def work(cols: dict) -> dict:
         hashes = [shingle_hashes(t, words) for t in cols["text"]]
         counts = np.array([len(h) for h in hashes], np.int64)
         flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, counts.sum())
-        return {"doc_id": cols["doc_id"], "fp": majority_bits(flat, counts).tolist()}
+        return {"doc_id": cols["doc_id"], "digest": cols["digest"], "fp": majority_bits(flat, counts).tolist()}
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text"), work, "doc_id long, digest long, fp long")
 
 
 def _keys(prints: DataFrame) -> DataFrame:
@@ -183,8 +184,8 @@ def links(prints: DataFrame, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
     """Fingerprint and component of every document.
 
-    Returns one row per row of ``docs``: ``doc_id``, ``fp`` (long), ``fingerprint`` (16 hex digits) and ``component_id``:
-    the smallest doc_id that chains of links at two or fewer differing bits reach, itself included.
+    Returns one row per row of ``docs``: ``doc_id``, ``digest`` (of the text), ``fp`` (long), ``fingerprint`` (16
+    hex digits) and ``component_id``: the smallest doc_id that chains of links at two or fewer differing bits reach, itself included.
 
     Null and wordless texts have fingerprint zero and link like others. Rows with equal texts, also under one doc_id,
     share a component. A null doc_id keeps its row; a component's id is null only if all of its ids are.
@@ -196,4 +197,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairs_per_key: int = PAIRS_
     root = cut(prints.join(component, prints.fp == component.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(root.join(ids, "root").select("fp", "component_id"))
-    return each.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(named, "fp").select("doc_id", "digest", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component of near_duplicates does: that of the smallest doc_id.
+
+    Of rows that share this id, the one whose text has the smallest digest stays; of rows equal in both, one. All columns are
+    kept.
+    """
+    named = cut(near_duplicates(docs, words))
+    # a null component_id joins those whose ids are all null, each by its fingerprint
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
+    first = named.withColumn("group", group).groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    crowds = cut(first.where("rows > 1").select("group", "first"))
+    members = cut(named.withColumn("group", group).join(crowds, "group").select("doc_id", "digest", "first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    kept = without(docs, members.where(~stays).select("doc_id", "digest"))
+    again = cut(members.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest() == F.col("__digest")), "left_semi")
+    return without(kept, again).unionByName(single.withColumn("__d", digest()).dropDuplicates(["doc_id", "__d"]).drop("__d"))
