@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python stage handles at once, so that its memory doesn't follow the batch.
 SLICE_BYTES = 2 << 20
@@ -56,34 +57,33 @@ def _remove_written() -> None:
             return
 
 
-def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow in slices of at most SLICE_BYTES of text (one row at least).
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[dict[str, list]]:
+    """The batches' columns as lists, in slices of at most SLICE_BYTES of text (one row at least); the text as bytes, null as
+    empty."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        start = total = 0
+        for row, size in enumerate([*sizes, None]):
+            if size is None or (total and total + size > SLICE_BYTES):
+                if row > start:
+                    part = batch.slice(start, row - start)
+                    lists = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                    raw = lists.pop(text)
+                    raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()).to_pylist()
+                    yield {n: c.to_pylist() for n, c in lists.items()} | {text: [x or b"" for x in raw]}
+                start, total = row, 0
+            total += size or 0
 
-    ``work`` gets the slice's columns as lists, the text as bytes (null: empty), and returns the columns of ``schema``.
-    """
-    target = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
 
+def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str = "text") -> DataFrame:
+    """mapInArrow over slices(): ``work`` gets a slice's columns and returns the columns of ``schema``."""
+    target = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            start = total = 0
-            for row, size in enumerate([*sizes, None]):
-                if size is None or (total and total + size > SLICE_BYTES):
-                    if row > start:
-                        part = batch.slice(start, row - start)
-                        columns = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                        raw = columns[text]
-                        raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()) if not pa.types.is_binary(raw.type) else raw
-                        lists = {n: c.to_pylist() for n, c in columns.items() if n != text}
-                        lists[text] = [x or b"" for x in raw.to_pylist()]
-                        out = work(lists)
-                        yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-                    start, total = row, 0
-                total += size or 0
+        for cols in slices(batches, text):
+            out = work(cols)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 
