@@ -1,0 +1,255 @@
+"""Personal data by weak supervision.
+
+Four base patterns (email, ip, card, phone) give spans that always stay. Looser patterns propose further spans.
+Labelers vote on every proposed span, base ones included: for, against, or not at all. They look at the base
+patterns, checksums and formats, gazetteers (country codes, issuers, mail hosts), words before the span, and what
+touches it. Per kind, expectation-maximisation estimates from the votes alone how reliable each labeler is and how likely
+each span is personal. A logistic classifier learns these estimates from votes and shape, and decides on the spans.
+
+Votes and shape of a span are one small number, its code; fitting needs only how often each code occurs, at most
+KINDS x CODES counts, whatever the size of the corpus.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, map_texts
+
+KINDS = ("email", "ip", "card", "phone")
+LABELERS = ("pattern", "format", "gazetteer", "word_for", "word_against", "border")
+SHAPES = 4
+CODES = 3 ** len(LABELERS) * SHAPES
+#: Characters before a span that the context labelers read.
+CONTEXT = 48
+#: A proposed span is added at this probability.
+ACCEPT = 0.5
+
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
+# these also match what can't become a span, so that one pass over the digits is linear
+_ips = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?").finditer
+_cards = re.compile(r"[0-9](?:[ -]?[0-9])*+").finditer
+_phones = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
+_digit = re.compile("[0-9]").search
+
+# looser patterns
+_at_emails = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63})+").finditer
+_fanged_ips = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])").finditer
+_dotted_cards = re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])").finditer
+_bare_phones = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])").finditer
+
+# gazetteers and context words: fixed values
+COUNTRY_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "98")
+MAIL_HOSTS = ("mail", "post", "inbox", "yahoo", "outlook", "proton")
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ch", "at", "it")
+ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
+WORDS_FOR = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|courriel|correo)\b").search,
+    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|login|adresse|servidor)\b").search,
+    "card": re.compile(r"(?i)\b(?:card|visa|credit|payment|karte|carte|tarjeta)\b").search,
+    "phone": re.compile(r"(?i)\b(?:phone|tel|call|fax|mobile|telefon|téléphone|teléfono)\b").search,
+}
+WORDS_AGAINST = re.compile(r"(?i)\b(?:version|release|isbn|issn|order|sku|section|page|token|key|hash|serial|build)\b").search
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = ord(d) - 48
+        total += n if i % 2 == 0 else 2 * n - 9 * (n > 4)
+    return total % 10 == 0
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Around each @: the local part reaches back as far as it can, to the last match at most."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        found = _domain(text, at + 1) if start < at else None
+        if found:
+            last = found.end()
+            yield start, last
+        at = text.find("@", max(at + 1, last))
+
+
+def _small(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and int(part) <= 255
+
+
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start, kind, end) of the base patterns' matches that pass their checks, sorted; and of those that don't but come close."""
+    out, failed = [(a, 0, b) for a, b in _emails(text)], []
+    if _digit(text):
+        for m in _ips(text):
+            parts = m.group().split(".")
+            if len(parts) == 4:
+                (out if all(map(_small, parts)) else failed).append((m.start(), 1, m.end()))
+        for m in _cards(text):
+            if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19:
+                (out if len(d) >= 14 and luhn(d) else failed).append((m.start(), 2, m.end()))
+        if "+" in text:
+            for m in _phones(text):
+                if 7 <= (n := len(_digits(m.group()))) <= 18:
+                    (out if 10 <= n <= 15 else failed).append((m.start(), 3, m.end()))
+    return sorted(out), failed
+
+
+def loose_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the looser patterns' matches."""
+    out = []
+    if "(at" in text or "[at" in text or "( at" in text or "[ at" in text:
+        out += [(m.start(), 0, m.end()) for m in _at_emails(text)]
+    if _digit(text):
+        if "[.]" in text:
+            out += [(m.start(), 1, m.end()) for m in _fanged_ips(text)]
+        out += [(m.start(), 2, m.end()) for m in _dotted_cards(text)]
+        out += [(m.start(), 3, m.end()) for m in _bare_phones(text)]
+    return out
+
+
+def votes(text: str, start: int, kind: int, end: int, pattern: int) -> list[int]:
+    """What each of LABELERS says: 1 for, -1 against, 0 nothing. ``pattern``: the span passes the base checks (1), fails them (-1), or
+    comes from a looser pattern (0)."""
+    span, name = text[start:end], KINDS[kind]
+    digits = _digits(span)
+    before = text[max(0, start - CONTEXT) : start]
+    if kind == 0:
+        ending = re.split(r"[.\])] ?", span)[-1].lower()
+        form, known = (1 if 2 <= len(ending) <= 6 and ending.isalpha() else -1), (1 if ending in ENDINGS or any(h in span.lower() for h in MAIL_HOSTS) else 0)
+    elif kind == 1:
+        parts = re.split(r"\[?\.\]?", span)
+        form = 1 if len(parts) == 4 and all(map(_small, parts)) and not any(len(p) > 1 and p[0] == "0" for p in parts) else -1
+        known = -1 if parts[0] in ("0", "127") or all(len(p) == 1 for p in parts) else 0
+    elif kind == 2:
+        form, known = (1 if 14 <= len(digits) <= 19 and luhn(digits) else -1), (1 if digits.startswith(ISSUERS) else 0)
+    else:
+        form = 1 if (9 if pattern == 0 else 10) <= len(digits) <= 15 else -1
+        known = (1 if digits.startswith(COUNTRY_CODES) else -1) if span[0] == "+" else 0
+    after = text[end : end + 1]
+    touched = (before[-1:].isalnum() or before[-1:] in ("_", "=", "#", "/")) or (after.isalnum() or after in ("_", "="))
+    return [pattern, form, known, 1 if WORDS_FOR[name](before) else 0, -1 if WORDS_AGAINST(before) else 0, -1 if touched else 1]
+
+
+def code_of(said: list[int], length: int) -> int:
+    code = 0
+    for v in said:
+        code = code * 3 + v + 1
+    return code * SHAPES + (length >= 12) + (length >= 16) + (length >= 24)
+
+
+def votes_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes, one row a code, and shapes."""
+    rest, out = codes // SHAPES, np.zeros((len(codes), len(LABELERS)), np.int64)
+    for i in range(len(LABELERS) - 1, -1, -1):
+        out[:, i] = rest % 3 - 1
+        rest = rest // 3
+    return out, codes % SHAPES
+
+
+def reliabilities(said: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over votes that depend on each other only through the span's class.
+
+    Returns each row's probability to be personal, and per class, labeler and vote (-1, 0, 1) its probability. It starts from the
+    votes' majority; each probability has a prior of one vote each way, so that a labeler that never speaks says nothing.
+    """
+    p = 1 / (1 + np.exp(-said.sum(1).astype(float)))
+    table = np.full((2, said.shape[1], 3), 1 / 3)
+    onehot = np.stack([said == v for v in (-1, 0, 1)], axis=2).astype(float)
+    for _ in range(rounds):
+        for k, w in ((0, (1 - p) * counts), (1, p * counts)):
+            table[k] = (np.einsum("r,rlv->lv", w, onehot) + 1) / (w.sum() + 3)
+        prior = ((p * counts).sum() + 1) / (counts.sum() + 2)
+        logs = np.einsum("rlv,klv->kr", onehot, np.log(table))
+        p = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - prior) / prior), -500, 500)))
+    return p, table
+
+
+def span_classifier(said: np.ndarray, shapes: np.ndarray, target: np.ndarray, counts: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression on votes and shape against the estimated probabilities, by Newton steps; probabilities per row."""
+    x = np.column_stack([np.ones(len(said)), *(said == 1).T, *(said == -1).T, *(shapes[:, None] == np.arange(1, SHAPES)).T]).astype(float)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (counts * (target - p)) - ridge * w
+        hessian = (x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, gradient)
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def accepted_codes(counts: dict[tuple[int, int], int]) -> dict[int, list[int]]:
+    """Per kind the codes whose spans are personal, from how often each (kind, code) occurs."""
+    out = {}
+    for kind in range(len(KINDS)):
+        mine = sorted((c, n) for (k, c), n in counts.items() if k == kind)
+        if mine:
+            codes, n = np.array([c for c, _ in mine]), np.array([float(n) for _, n in mine])
+            said, shapes = votes_of(codes)
+            p, _ = reliabilities(said, n)
+            out[kind] = codes[span_classifier(said, shapes, p, n) >= ACCEPT].tolist()
+    return out
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, and further proposed spans that overlap none of them, with the codes of both."""
+
+    def work(cols: dict) -> dict:
+        base, more = [], []
+        for raw in cols["text"]:
+            text = raw.decode()
+            mine, failed = base_spans(text)
+            others, ends = [], dict.fromkeys(range(len(KINDS)), 0)
+            for a, k, b, pattern in sorted([(*x, -1) for x in failed] + [(*x, 0) for x in loose_spans(text)]):
+                if a >= ends[k] and not any(x < b and a < y for x, _, y in mine):
+                    others.append((a, k, b, pattern))
+                    ends[k] = b
+            for spans, to in (([(*x, 1) for x in mine], base), (others, more)):
+                to.append([{"start": a, "kind": k, "end": b, "code": code_of(votes(text, a, k, b, pattern), b - a)} for a, k, b, pattern in spans])
+        return {"doc_id": cols["doc_id"], "base": base, "more": more}
+
+    span = "array<struct<start:int,kind:int,end:int,code:int>>"
+    return cut(map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, f"doc_id long, base {span}, more {span}"))
+
+
+def _written(spans: str) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return F.expr(f"array_join(transform(array_sort(transform({spans}, s -> struct(s.start, s.kind, s.end))), s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')")
+
+
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """Personal data of every row of ``docs`` (doc_id, text).
+
+    Returns one row per row: ``doc_id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base spans of each kind), ``base`` and
+    ``spans``: the base spans and all spans, written kind:start:end in code points, end exclusive.
+
+    Null and empty texts have no spans. Rows that share an id or a text are judged each for itself, equal texts alike. Empty
+    tables give empty results. Extra columns are left out.
+    """
+    each = scan(docs)
+    counted = each.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.kind", "s.code").count().collect()  # at most KINDS x CODES rows
+    accepted = accepted_codes({(r.kind, r.code): r["count"] for r in counted})
+    keys = [k * CODES + c for k, codes in accepted.items() for c in codes]
+    added = F.filter("more", lambda s: (s["kind"] * CODES + s["code"]).isin(keys)) if keys else F.filter("more", lambda s: F.lit(False))
+    return each.select(
+        "doc_id",
+        *(F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)),
+        _written("base").alias("base"),
+        F.concat("base", added).alias("all"),
+    ).withColumn("spans", _written("all")).drop("all")

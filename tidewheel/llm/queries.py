@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, tokens
+from . import decontaminate, mixing, pii, quality, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_mixing_budgets": op1_mixing_budgets,
     "op2_quality_discriminant": op2_quality_discriminant,
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_sharding_permutation_table": op5_sharding_permutation_table,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_prefix_decontamination": op8_prefix_decontamination,
+    "op10_pii_weak_supervision": op10_pii_weak_supervision,
 }
 
 
