@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, sharding, simhash, tokens
+from . import decontaminate, maxscore, mixing, pii, quality, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op3_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_sharding_permutation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_mixing_budgets": op1_mixing_budgets,
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_pretoken_counts": op3_pretoken_counts,
+    "op4_maxscore": op4_maxscore,
     "op5_sharding_permutation_table": op5_sharding_permutation_table,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_prefix_decontamination": op8_prefix_decontamination,
@@ -112,8 +117,20 @@ SELECT doc_id, slot, ({sharding.lookup_table(SHARDS)})[slot + 1] AS shard FROM (
   SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
 """
 
+ORACLE_OP4 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.vector[i] * c.vector[i] FOR i IN range(1, len(q.vector) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 #: Queries that SQL can't express over whole tables have none; tests/llm holds them against brute force.
 ORACLES = {
     "op1_mixing_budgets": ORACLE_OP1,
+    "op4_maxscore": ORACLE_OP4,
     "op5_sharding_permutation_table": ORACLE_OP5,
 }
