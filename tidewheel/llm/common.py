@@ -88,11 +88,11 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, target)
 
 
-def bitmap(keys: DataFrame) -> bytes:
-    """BITMAP_BITS bits, on where a ``key`` (long) modulo their number falls; they reach the driver in pieces of 4 KB."""
-    place = F.pmod("key", F.lit(BITMAP_BITS))
+def bitmap(keys: DataFrame, size: int = BITMAP_BITS) -> bytes:
+    """``size`` bits (a power of two), on where a ``key`` (long) modulo their number falls; they reach the driver in pieces of 4 KB."""
+    place = F.pmod("key", F.lit(size))
     pieces = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
+    bits = np.zeros(size // 8 + 4096, np.uint8)
     for row in pieces.toLocalIterator():
         # bucket b holds the places (b - 1) * 32768 + 1 to b * 32768, the first at bit 0
         start = (row.b - 1) * 4096
@@ -105,7 +105,7 @@ def bitmap(keys: DataFrame) -> bytes:
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    place = (hashes & np.uint64((len(bits) - 4096) * 8 - 1)).astype(np.int64)
     at = np.where(place == 0, 0, place - 1)
     got = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
     return np.where(place == 0, bits[-1] & 1, got).astype(bool)

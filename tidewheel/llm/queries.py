@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, mixing, pii, quality, sharding, simhash, tokens
+from . import decontaminate, maxscore, mixing, pii, quality, sharding, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_sharding_permutation_table(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op6_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_pretoken_counts": op3_pretoken_counts,
     "op4_maxscore": op4_maxscore,
     "op5_sharding_permutation_table": op5_sharding_permutation_table,
+    "op6_fm_index_substrings": op6_fm_index_substrings,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_prefix_decontamination": op8_prefix_decontamination,
     "op10_pii_weak_supervision": op10_pii_weak_supervision,
