@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, mixing, pii, quality, sharding, simhash, substrings, tokens
+from . import decontaminate, linededup, maxscore, mixing, pii, quality, sharding, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_fm_index_substrings": op6_fm_index_substrings,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_prefix_decontamination": op8_prefix_decontamination,
+    "op9_line_suffix_array": op9_line_suffix_array,
     "op10_pii_weak_supervision": op10_pii_weak_supervision,
 }
 
@@ -133,9 +139,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+ORACLE_OP9 = """
+WITH lines AS (
+  SELECT doc_id, pos, line, replace(line, ' ', '') = '' AS blank
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+numbered AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM lines WHERE NOT blank),
+windows AS (SELECT doc_id, i, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM numbered),
+later AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS copy FROM windows WHERE b IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (SELECT unnest([0, 1]) AS d) WHERE copy > 1),
+kept AS (
+  SELECT l.doc_id, l.pos, l.line, g.i IS NOT NULL AS cut
+  FROM lines l LEFT JOIN numbered n ON l.doc_id = n.doc_id AND l.pos = n.pos LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE cut) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
+
 #: Queries that SQL can't express over whole tables have none; tests/llm holds them against brute force.
 ORACLES = {
     "op1_mixing_budgets": ORACLE_OP1,
     "op4_maxscore": ORACLE_OP4,
     "op5_sharding_permutation_table": ORACLE_OP5,
+    "op9_line_suffix_array": ORACLE_OP9,
 }
