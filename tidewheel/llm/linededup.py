@@ -45,21 +45,22 @@ def ranked(classes: DataFrame, order: list[str]) -> DataFrame:
 
 def _step(now: DataFrame, shift: int) -> DataFrame:
     """From ranks by k lines to ranks by k + shift (at most 2k): pairs with the suffix ``shift`` lines on, where both are repeated."""
-    ahead = now.select(F.col("doc_id").alias("id_b"), F.col("digest").alias("digest_b"), (F.col("i") - shift).alias("i_b"), F.col("rank").alias("b"))
+    ahead = now.select(F.col("doc_id").alias("id_b"), F.col("digest").alias("digest_b"), (F.col("i") - shift).alias("i_b"), F.col("rank").alias("b"), "stop")
     same = F.expr("doc_id <=> id_b and digest = digest_b and i = i_b")
-    pairs = now.withColumnRenamed("rank", "a").join(ahead, same).select("doc_id", "digest", "i", "a", "b")
+    pairs = now.withColumnRenamed("rank", "a").drop("stop").join(ahead, same).select("doc_id", "digest", "i", "start", "stop", "a", "b")
     classes = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(pairs.join(ranked(classes, ["a", "b"]), ["a", "b"]).select("doc_id", "digest", "i", "rank"))
+    return cut(pairs.join(ranked(classes, ["a", "b"]), ["a", "b"]).select("doc_id", "digest", "i", "start", "stop", "rank"))
 
 
 def suffix_ranks(docs: DataFrame, min_lines: int) -> DataFrame:
-    """``doc_id``, ``digest``, ``i`` (place among the non-blank lines) and ``rank`` by ``min_lines`` lines of the suffixes that aren't alone."""
-    ids = f"transform(filter({lines_of('text')}, x -> not ({_blank('x')})), x -> struct(xxhash64(x) as h1, hash(x) as h2))"
+    """The suffixes that aren't alone by ``min_lines`` lines: ``doc_id``, ``digest``, ``i`` (place among the non-blank lines), ``start`` and
+    ``stop`` (of these lines, among all) and ``rank``."""
+    ids = f"filter(transform({lines_of('text')}, (x, p) -> if({_blank('x')}, null, struct(p, xxhash64(x) as h1, hash(x) as h2))), x -> x is not null)"
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.expr(ids).alias("ids")).where(F.size("ids") >= min_lines)
     each = each.groupBy("doc_id", "digest").agg(F.first("ids").alias("ids"))
-    lines = cut(each.select("doc_id", "digest", F.posexplode("ids").alias("i", "id")).select("doc_id", "digest", "i", "id.h1", "id.h2"))
+    lines = cut(each.select("doc_id", "digest", F.posexplode("ids").alias("i", "id")).select("doc_id", "digest", "i", F.col("id.p").alias("start"), (F.col("id.p") + 1).alias("stop"), "id.h1", "id.h2"))
     classes = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    now = cut(lines.join(ranked(classes, ["h1", "h2"]), ["h1", "h2"]).select("doc_id", "digest", "i", "rank"))
+    now = cut(lines.join(ranked(classes, ["h1", "h2"]), ["h1", "h2"]).select("doc_id", "digest", "i", "start", "stop", "rank"))
     known = 1
     while known < min_lines:
         shift = min(known, min_lines - known)
@@ -70,17 +71,22 @@ def suffix_ranks(docs: DataFrame, min_lines: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Runs of at least ``min_lines`` non-blank lines that also occur earlier, by doc_id and then place.
 
-    Returns a row per document with such runs: ``doc_id``, ``digest`` (of the text) and ``runs``: (start, stop) of the maximal later copies, as
-    places among its non-blank lines, in order.
+    Returns a row per document with such runs: ``doc_id``, ``digest`` (of the text) and ``runs``: (start, stop) of the maximal later copies among
+    all lines, from the first line to the one after the last.
     """
     found = suffix_ranks(docs, min_lines)
     first = found.groupBy("rank").agg(F.min(F.struct("doc_id", "digest", "i")).alias("first"))
     later = found.join(first, "rank").where(~F.struct("doc_id", "digest", "i").eqNullSafe(F.col("first")))
-    grown = (
-        "aggregate(array_sort(collect_set(i)), cast(array() as array<struct<start:int,stop:int>>), (a, i) -> if(size(a) > 0 and i <= element_at(a, -1).stop, "
-        f"concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, i + {min_lines} as stop))), concat(a, array(struct(i as start, i + {min_lines} as stop)))))"
+    along = W.partitionBy("doc_id", "digest").orderBy("i")
+    fresh = F.coalesce((F.col("i") > F.lag("i").over(along) + min_lines).cast("int"), F.lit(0))
+    return (
+        later.withColumn("fresh", fresh)
+        .withColumn("run", F.sum("fresh").over(along))
+        .groupBy("doc_id", "digest", "run")
+        .agg(F.struct(F.min("start").alias("start"), F.max("stop").alias("stop")).alias("r"))
+        .groupBy("doc_id", "digest")
+        .agg(F.collect_list("r").alias("runs"))
     )
-    return later.groupBy("doc_id", "digest").agg(F.expr(grown).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -94,10 +100,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     runs = cut(repeated_lines(docs, min_lines)).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("runs").alias("__runs"))
     own = docs.drop("kept_text", "n_lines", "n_removed")
     joined = own.withColumn("__name", digest()).join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__name") == F.col("__digest")), "left")
-    # number the non-blank lines from 0, and leave out those inside a run
-    numbered = f"""aggregate({lines_of('text')}, cast(struct(0 as i, array() as kept) as struct<i:int,kept:array<string>>),
-        (a, x) -> struct(a.i + int(not ({_blank('x')})) as i, if(not ({_blank('x')}) and exists(__runs, r -> r.start <= a.i and a.i < r.stop), a.kept, concat(a.kept, array(x))) as kept), a -> a.kept)"""
-    kept = F.when(F.col("__runs").isNull(), F.expr(lines_of("text"))).otherwise(F.expr(numbered))
+    kept = F.expr(f"filter({lines_of('text')}, (x, p) -> {_blank('x')} or not exists(coalesce(__runs, array()), r -> r.start <= p and p < r.stop))")
     total = F.coalesce(F.size(F.expr(lines_of("text"))), F.lit(0))
     return (
         joined.withColumn("__kept", kept)
