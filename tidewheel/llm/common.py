@@ -88,14 +88,28 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, target)
 
 
-def bitmap(keys: DataFrame, size: int = BITMAP_BITS) -> bytes:
-    """``size`` bits (a power of two), on where a ``key`` (long) modulo their number falls; they reach the driver in pieces of 4 KB."""
+def bitmap_pieces(keys: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
+    """``size`` bits (a power of two), on where a ``key`` (long) modulo their number falls, as rows of ``bucket`` and ``bits`` (4 KB)."""
     place = F.pmod("key", F.lit(size))
-    pieces = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    return keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+
+
+def possible(rows: DataFrame, key: Column, pieces: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
+    """``rows`` with ``__maybe``: whether the bitmap has the key's bit. The pieces, ``size`` / 8 bytes at most, are broadcast."""
+    small = F.broadcast(pieces.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    placed = rows.withColumn("__p", F.pmod(key, F.lit(size)))
+    bit = F.expr("bitmap_bit_position(__p)")
+    byte = F.conv(F.hex(F.substring("__bits", F.call_function("div", bit, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(small, F.expr("bitmap_bucket_number(__p) = __bucket"), "left")
+    return found.withColumn("__maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("__p", "__bucket", "__bits")
+
+
+def bitmap(keys: DataFrame, size: int = BITMAP_BITS) -> bytes:
+    """The bits of bitmap_pieces in one piece, for Python stages; they reach the driver 4 KB at a time."""
     bits = np.zeros(size // 8 + 4096, np.uint8)
-    for row in pieces.toLocalIterator():
+    for row in bitmap_pieces(keys, size).toLocalIterator():
         # bucket b holds the places (b - 1) * 32768 + 1 to b * 32768, the first at bit 0
-        start = (row.b - 1) * 4096
+        start = (row.bucket - 1) * 4096
         raw = np.frombuffer(bytes(row.bits), np.uint8)
         if start < 0:  # place 0 alone falls below bucket 1
             bits[-1] |= 1

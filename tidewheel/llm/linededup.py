@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, digest
+from .common import bitmap_pieces, cut, digest, possible
 
 #: Lines in the shortest run that counts.
 MIN_LINES = 2
@@ -75,7 +75,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     all lines, from the first line to the one after the last.
     """
     found = suffix_ranks(docs, min_lines)
-    first = found.groupBy("rank").agg(F.min(F.struct("doc_id", "digest", "i")).alias("first"))
+    first = cut(found.groupBy("rank").agg(F.min(F.struct("doc_id", "digest", "i")).alias("first")))  # a table, so that the join can split a large class
     later = found.join(first, "rank").where(~F.struct("doc_id", "digest", "i").eqNullSafe(F.col("first")))
     along = W.partitionBy("doc_id", "digest").orderBy("i")
     fresh = F.coalesce((F.col("i") > F.lag("i").over(along) + min_lines).cast("int"), F.lit(0))
@@ -97,9 +97,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     result; copies under other ids are later ones, a null id coming first. Ties don't arise otherwise. Empty tables stay
     empty; extra columns are kept.
     """
-    runs = cut(repeated_lines(docs, min_lines)).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("runs").alias("__runs"))
-    own = docs.drop("kept_text", "n_lines", "n_removed")
-    joined = own.withColumn("__name", digest()).join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__name") == F.col("__digest")), "left")
+    runs = cut(repeated_lines(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("runs").alias("__runs")))
+    own = docs.drop("kept_text", "n_lines", "n_removed").withColumn("__name", digest())
+    # only texts that may have a run are shuffled
+    marked = possible(own, F.xxhash64(F.col("doc_id").cast("long"), "__name"), bitmap_pieces(runs.select(F.xxhash64("__id", "__digest").alias("key"))))
+    touched = marked.where("__maybe").join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__name") == F.col("__digest")), "left")
+    whole = marked.where("not __maybe").withColumn("__runs", F.lit(None).cast(runs.schema["__runs"].dataType))
+    joined = touched.drop("__id", "__digest").unionByName(whole)
     kept = F.expr(f"filter({lines_of('text')}, (x, p) -> {_blank('x')} or not exists(coalesce(__runs, array()), r -> r.start <= p and p < r.stop))")
     total = F.coalesce(F.size(F.expr(lines_of("text"))), F.lit(0))
     return (
@@ -107,5 +111,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         .withColumn("n_lines", F.greatest(total, F.lit(0)).cast("long"))
         .withColumn("n_removed", (F.col("n_lines") - F.greatest(F.coalesce(F.size("__kept"), F.lit(0)), F.lit(0))).cast("long"))
         .withColumn("kept_text", F.array_join("__kept", "\n"))
-        .drop("__name", "__id", "__digest", "__runs", "__kept")
+        .drop("__name", "__maybe", "__runs", "__kept")
     )
