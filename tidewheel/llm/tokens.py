@@ -118,6 +118,18 @@ def _pieces(vocabulary: DataFrame, spec) -> DataFrame:
     return vocabulary.mapInArrow(run, "p string, n long, pieces int")
 
 
+def _most_frequent(table: DataFrame) -> DataFrame:
+    """The pre-tokens above the least frequency class (16 to a doubling) that leaves at most HEAD of them; no sort is needed."""
+    short = table.where(F.octet_length("p") <= HEAD_BYTES).withColumn("size", F.floor(F.log2("n") * 16))
+    left, least = HEAD, None
+    for row in short.groupBy("size").count().orderBy(F.desc("size")).collect():  # at most 16 x 63 classes
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["size"]
+    return short.where(F.col("size") >= least) if least is not None else short.limit(0)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """Tokens of every row of ``docs`` (doc_id, text) as the tokenizer of the file ``tokenizer`` (tokenizers' JSON) gives them.
 
@@ -134,9 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     spec = spark.sparkContext.broadcast(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     table = cut(_pieces(_vocabulary(rows.select("text"), spec), spec))
-    head = spark.sparkContext.broadcast(
-        {r.p: r.pieces for r in table.where(F.octet_length("p") <= HEAD_BYTES).orderBy(F.desc("n"), "p").limit(HEAD).select("p", "pieces").toLocalIterator()}
-    )
+    head = spark.sparkContext.broadcast({r.p: r.pieces for r in _most_frequent(table).select("p", "pieces").toLocalIterator()})
     target = "doc_id long, n_bytes long, n_head long, tail array<struct<p:string,n:int>>"
     tail_type = pa.list_(pa.struct([("p", pa.string()), ("n", pa.int32())]))
 
