@@ -15,9 +15,9 @@ _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 def _wrapped(value: Column, kind: T.DataType) -> Column:
     """A whole number (decimal) reduced to a kind's range in two's complement."""
     span = 1 << _BITS[type(kind)]
-    low = F.pmod(value, F.lit(span).cast("decimal(38,0)"))
-    half = F.lit(span // 2).cast("decimal(38,0)")
-    return F.when(low >= half, low - F.lit(span).cast("decimal(38,0)")).otherwise(low).cast(kind)
+    low = F.pmod(value, F.lit(str(span)).cast("decimal(38,0)"))
+    half = F.lit(str(span // 2)).cast("decimal(38,0)")
+    return F.when(low >= half, low - F.lit(str(span)).cast("decimal(38,0)")).otherwise(low).cast(kind)
 
 
 def combine(op: str, left: Column, left_kind: T.DataType, right: Column, right_kind: T.DataType) -> tuple[Column, T.DataType]:

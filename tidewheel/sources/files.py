@@ -36,13 +36,12 @@ def read_csv(spark: SparkSession, paths: Paths, schema: T.StructType | None = No
         names = [*schema.names, *(f"__extra_{i}" for i in range(len(cells) - len(schema.names)))]
     else:
         names = [f"col_{i}" for i in range(len(cells))]
-    bad = "__bad"
-    read = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
-    reader = spark.read.schema(read).options(header=props.has_header, enforceSchema=True, sep=props.delimiter, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=bad, nullValue="\u0000", emptyValue="")
+    read = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # without pruning, so that which records are too short doesn't depend on the columns asked for
+    reader = spark.read.schema(read).options(header=props.has_header, enforceSchema=True, sep=props.delimiter, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED", columnPruning=False, nullValue="\u0000", emptyValue="")
     if props.compression:
         reader = reader.option("compression", props.compression)
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    good = df.where(F.col(bad).isNull())
+    good = reader.csv(list(paths) if not isinstance(paths, str) else paths)
     if props.has_meta:  # a second line that describes the columns: the first record of each file
         good = _without_meta(spark, good, paths, props)
     if schema is None:
