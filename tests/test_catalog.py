@@ -167,6 +167,19 @@ def test_state(spark):
     assert {r.column: r.histogram for r in t.histograms().collect()}["b"] == '{"count":2,"trues":1}'
 
 
+def test_time_ranges_reach_the_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select id n, timestamp_ntz'2020-01-01 00:00:00.5' + make_interval(0, 0, 0, id) ts from range(10)").write.parquet(path)
+    e = Engine(spark)
+    from tidewheel.functions.timefns import wall_seconds
+
+    df = spark.read.parquet(path)
+    e.catalog.register("t", df.withColumn("_time_", wall_seconds(F.col("ts"))), time_from="ts")
+    q = e.table("t").between_times(1577836800 + 2 * DAY, 1577836800 + 4 * DAY).select(col("n")).build()
+    assert sorted(r.n for r in q.collect()) == [2, 3, 4]
+    assert "GreaterThanOrEqual(ts" in q._jdf.queryExecution().toString()
+
+
 def test_segments():
     assert list(segments(5, 35, 10)) == [(5, 10), (10, 20), (20, 30)]
     assert list(segments(0, 9, 10)) == []

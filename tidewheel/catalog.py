@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import threading
@@ -35,6 +36,7 @@ class Table:
     column_props: Mapping[str, ColumnProps] = field(default_factory=dict)
     rules: Sequence[Rule] = ()
     spec: TableSpec | None = None
+    time_from: str | None = None
     _bounds: dict = field(default_factory=dict)
 
     def frame(self) -> DataFrame:
@@ -46,9 +48,15 @@ class Table:
         return self.frame().columns
 
     def within(self, df: DataFrame, start: int, end: int) -> DataFrame:
-        """Rows of an inclusive range of seconds; the date of the layout is bounded, too, so other days' files aren't opened."""
+        """Rows of an inclusive range of seconds. The date of the layout is bounded, too, so other days' files aren't opened; and the
+        timestamp that the time comes from, so that row groups are skipped by its statistics."""
         if DATE not in self.source.columns:
-            return df.where(F.col(TIME).between(start, end))
+            rows = df.where(F.col(TIME).between(start, end))
+            if self.time_from is None:
+                return rows
+            kind = "timestamp_ntz" if isinstance(df.schema[self.time_from].dataType, T.TimestampNTZType) else "timestamp"
+            edge = lambda s: F.timestamp_seconds(F.lit(s)) if kind == "timestamp" else F.expr(f"timestamp_ntz'{dt.datetime.fromtimestamp(s, dt.timezone.utc):%Y-%m-%d %H:%M:%S}'")
+            return rows.where((F.col(self.time_from) >= edge(start)) & (F.col(self.time_from) < edge(end + 1)))
         day = lambda s: F.date_from_unix_date(F.lit(s // 86400))
         rows = self.source.where(F.col(DATE).between(day(start), day(end)) & F.col(TIME).between(start, end))
         return Table(self.name, rows).frame()
@@ -155,14 +163,15 @@ class Catalog:
             raise TableNotFound(name)
         return self._tables[name]
 
-    def register(self, name: str, df: DataFrame, time: TimeSpec | None = None, columns: Mapping[str, ColumnProps] | None = None, rules: Sequence[Rule] = (), ttl: float = 0, spec: TableSpec | None = None) -> Table:
-        """Name a frame. ``ttl``: seconds without a query after which it goes; 0 keeps it."""
+    def register(self, name: str, df: DataFrame, time: TimeSpec | None = None, columns: Mapping[str, ColumnProps] | None = None, rules: Sequence[Rule] = (), ttl: float = 0, spec: TableSpec | None = None, time_from: str | None = None) -> Table:
+        """Name a frame. ``ttl``: seconds without a query after which it goes; 0 keeps it. ``time_from``: the timestamp column whose whole
+        seconds, in UTC, ``_time_`` has; time ranges then also bound that column, which files can be searched by."""
         if time is not None:
             df = with_time(df, time, now=int(self.now()))
         elif TIME not in df.columns:
             df = df.withColumn(TIME, F.lit(0).cast("long"))
         props = dict(columns or {})
-        table = Table(name, with_defaults(df, props), props, tuple(rules), spec)
+        table = Table(name, with_defaults(df, props), props, tuple(rules), spec, time_from)
         with self._lock:
             self._tables[name] = table
             self._expiry.pop(name, None)

@@ -44,7 +44,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def engine(spark: SparkSession, sf_dir: str, *names: str, **more) -> Engine:
     out = Engine(spark)
     for n in names:
-        out.catalog.register(n, source(spark, sf_dir, n), **more)
+        out.catalog.register(n, source(spark, sf_dir, n), time_from=TIMES.get(n), **more)
     return out
 
 
