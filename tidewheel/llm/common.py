@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python stage handles at once, so that its memory doesn't follow the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch. Rows hold whole texts, so Spark's 10,000 would take a hundred MB in each of JVM and Python.
+BATCH_ROWS = 1_000
 #: Bits of a bitmap that goes to all executors: 4 MB, whatever the tables' size.
 BITMAP_BITS = 1 << 25
 
@@ -32,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def tune(spark: SparkSession) -> None:
+    """Small Arrow batches for the session, where its setting is still the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it again.
 
@@ -39,6 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     don't lose the rows. The files go when the driver's Python ends.
     """
     spark = df.sparkSession
+    tune(spark)
     path = f"{shared_folder(spark)}/tidewheel/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -57,9 +69,17 @@ def _remove_written() -> None:
             return
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[dict[str, list]]:
     """The batches' columns as lists, in slices of at most SLICE_BYTES of text (one row at least); the text as bytes, null as
     empty."""
+    give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = total = 0
@@ -73,10 +93,12 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[di
                     yield {n: c.to_pylist() for n, c in lists.items()} | {text: [x or b"" for x in raw]}
                 start, total = row, 0
             total += size or 0
+    give_back()
 
 
 def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow over slices(): ``work`` gets a slice's columns and returns the columns of ``schema``."""
+    tune(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(target)
 

@@ -34,7 +34,7 @@ MINIMIZER_BITS = 1 << 27
 #: Different segments in a shard, about, and of one minimizer, at most.
 SHARD_SEGMENTS, KEY_SEGMENTS = 16_384, 32_768
 #: Different words of which a task remembers the hashes.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):

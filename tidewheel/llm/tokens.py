@@ -26,7 +26,7 @@ from .common import cut, slices
 #: Pre-tokens in the broadcast, and their longest length in bytes: 32 MB at the very most.
 HEAD, HEAD_BYTES = 1 << 17, 256
 #: Distinct pre-tokens that a task gathers before it hands on their counts.
-GATHER = 300_000
+GATHER = 150_000
 
 #: The pattern that byte-level BPE vocabularies of this family are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
