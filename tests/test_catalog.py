@@ -120,6 +120,8 @@ def test_demand(spark, tmp_path):
     name = c.load_demand(request)
     assert name.startswith("$") and sorted(tuple(r) for r in c.table(name).frame().collect()) == [(1, 1594080000), (2, 0)]
     assert c.load_demand(request) == name
+    made = c.load_demand({**request, "schema": "ROW<a:int, t:string, b:bigint>", "columns": {"b": {"expr": "a * 10"}}})
+    assert sorted(tuple(r) for r in c.table(made).frame().select("a", "b").collect()) == [(1, 10), (2, 20)]
     with pytest.raises(FileNotFoundError):
         c.load_demand({**request, "source": str(tmp_path / "nothing.json")})
 

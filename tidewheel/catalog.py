@@ -18,6 +18,7 @@ from . import macros
 from .errors import TableNotFound
 from .functions.timefns import time_column
 from .operators.access import Rule
+from .plans.expressions import sql_of
 from .schema import TIME, is_metric, is_numeric, parse_schema
 from .sources import files, remote
 from .spec import ColumnProps, TableSpec, TimeSpec, read_config, table_spec
@@ -242,8 +243,9 @@ class Catalog:
         """
         schema = parse_schema(spec.schema)
         from_macro = {c: p.from_macro for c, p in spec.columns.items() if p.from_macro}
-        # pruned: columns that macros fill, and _time_ where the spec makes it, aren't in the files
-        stored = T.StructType([f for f in schema if f.name not in from_macro and not (f.name == TIME and spec.time.type not in ("PROVIDED", "COLUMN"))])
+        computed = {c: p.expr for c, p in spec.columns.items() if p.expr}
+        # pruned: columns that macros or expressions fill, and _time_ where the spec makes it, aren't in the files
+        stored = T.StructType([f for f in schema if f.name not in from_macro and f.name not in computed and not (f.name == TIME and spec.time.type not in ("PROVIDED", "COLUMN"))])
         if spec.time.type == "COLUMN" and spec.time.column not in stored.names:
             stored = T.StructType([*stored, T.StructField(spec.time.column, T.StringType())])
         if spec.source == "TEST":
@@ -264,6 +266,8 @@ class Catalog:
             given = {k.lower(): x for k, x in chosen}
             for column, macro in from_macro.items():
                 df = df.withColumn(column, F.lit(given.get(macro.lower(), "")).cast(schema[column].dataType))
+            for column, expr in computed.items():
+                df = df.withColumn(column, F.expr(sql_of(expr)).try_cast(schema[column].dataType))
             parts.append(df)
         out = parts[0]
         for df in parts[1:]:

@@ -63,6 +63,7 @@ class ColumnProps:
     compress: bool = False
     default_value: str | None = None
     from_macro: str = ""
+    expr: str = ""  # computed when the table is loaded
     rules: tuple[Rule, ...] = ()
     partition_values: tuple[str, ...] = ()
     partition_chunk: int = 1
@@ -130,7 +131,7 @@ def read_columns(node: Mapping | None) -> dict[str, ColumnProps]:
             raise ValueError(f"the partition of {name!r} has no values")
         out[str(name)] = ColumnProps(
             bool(c.get("bloom_filter", False)), bool(c.get("dict", False)), bool(c.get("compress", False)),
-            None if c.get("default_value") is None else str(c["default_value"]), str(c.get("from_macro", "")), read_rules(c.get("access")),
+            None if c.get("default_value") is None else str(c["default_value"]), str(c.get("from_macro", "")), str(c.get("expr", "")), read_rules(c.get("access")),
             tuple(map(str, part["values"])) if part else (), int(part.get("chunk", 1)) if part else 1,
         )
     return out
