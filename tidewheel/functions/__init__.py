@@ -1 +1 @@
-
+"""Functions on columns, and codecs."""

@@ -1 +1 @@
-
+"""Aggregates, timelines, access rules, result transforms."""

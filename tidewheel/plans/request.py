@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from ..errors import EngineError, FailBuildQuery, MissingOutputFields, MissingTable, TableNotFound
 from ..functions import codecs
-from ..operators import aggregates
 from ..operators.access import QueryContext
 from ..operators.timeline import window_column
 from ..schema import TIME, WINDOW
