@@ -25,15 +25,17 @@ BATCH_ROWS = 1_000
 BITMAP_BITS = 1 << 25
 
 _written: list[tuple[SparkSession, str]] = []
+_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own_folder:  # on one machine, as in tests
+        _own_folder.append(tempfile.mkdtemp(prefix="tidewheel-"))
+    return f"file://{_own_folder[0]}"
 
 
 def tune(spark: SparkSession) -> None:
