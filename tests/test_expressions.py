@@ -6,6 +6,7 @@ from tidewheel.errors import FailCompileQuery, MissingOutputFields
 from tidewheel.functions.codecs import delta_decode, delta_encode
 from tidewheel.plans.expressions import avg, between, card, col, count, hist, in_, like, max_, nin, pct, reverse, round_time, script, sql_of, starts, sum_, tpm, v
 
+# fixed values: texts, patterns and results
 LIKE = [
     ("a", "a%", True), ("a", "%a%", True), ("a", "%a", True), ("abc", "abc%", True), ("abc", "%abc%", True), ("abc", "%abc", True), ("abcdefg", "abc%", True),
     ("Shawn says hi", "%says%", True), ("long time no see", "%see", True), ("the sky is cool", "%is", False), ("the sky is awesome", "the sky%", True),

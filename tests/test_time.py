@@ -10,6 +10,7 @@ from tidewheel.operators.timeline import Buckets, buckets
 from tidewheel.spec import TimeSpec, snap_minutes
 
 NOW = 1_700_000_000
+# the paths and times below are fixed values
 
 
 @pytest.mark.parametrize(

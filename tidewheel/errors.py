@@ -11,6 +11,8 @@ class EngineError(Exception):
         super().__init__(f"{self.message}: {detail}" if detail else self.message)
 
 
+# The codes and messages that clients know.
+
 class MissingTable(EngineError):
     code, message = 1, "Table Not Set"
 

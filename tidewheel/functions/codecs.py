@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of deltas ends before a value this far from its base.
+#: Fixed value of the format: a run of deltas ends before a value this far from its base.
 MAX_DELTA = 65535
 
 

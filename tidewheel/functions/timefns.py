@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Calendar units by number, from 1, and the units of relative literals in seconds.
 UNITS = ("hour", "day", "week", "month", "quarter", "year")
 SECONDS = {"minute": 60, "minutes": 60, "min": 60, "mins": 60, "m": 60, "hour": 3600, "hours": 3600, "hr": 3600, "hrs": 3600, "h": 3600, "day": 86400, "days": 86400, "d": 86400, "week": 604800, "weeks": 604800, "wk": 604800, "wks": 604800, "w": 604800}
 

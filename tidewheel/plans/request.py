@@ -20,6 +20,7 @@ from .query import Query
 if TYPE_CHECKING:
     from ..catalog import Catalog, Table
 
+# Names, numbers and defaults of service requests.
 DEFAULT_TOP = 100
 #: A tree's smallest count in service requests.
 TREE_THRESHOLD = 3

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 from .operators.access import Rule, read_rules
 
+# The names that configs use.
 SOURCES = ("LOCAL", "S3", "GS", "ABFS", "KAFKA", "HTTP", "GSHEET", "ROCKSET", "TEST")
 FORMATS = ("NONE", "CSV", "JSON", "THRIFT", "PARQUET", "GSHEET")
 LOADERS = ("Swap", "Roll", "Api", "Template", "Streaming", "Test")
 TIME_TYPES = ("STATIC", "CURRENT", "COLUMN", "MACRO", "PROVIDED")
-#: Minutes that a sliced source's interval may have.
+#: Minutes that a sliced source's interval may have.
 SLICE_MINUTES = (1, 2, 5, 10, 15, 20, 30)
 
 
