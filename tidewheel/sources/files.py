@@ -70,36 +70,35 @@ def _path(name: str) -> str:
     return "$" + "".join(f"['{p}']" for p in name.split("."))
 
 
-def _of_json(document: str, schema: T.StructType, columns_map: Mapping[str, str]) -> list:
-    """Columns out of a JSON text column. Missing and null values, and those that can't be read, are zeros."""
+def _parsed(df: DataFrame, document: str) -> DataFrame:
+    """The text column parsed once, as ``__v``; null where it is no JSON."""
+    return df.withColumn("__v", F.try_parse_json(F.col(document)))
+
+
+def _of_json(schema: T.StructType, columns_map: Mapping[str, str]) -> list:
+    """Columns out of the parsed ``__v``. Missing and null values, and those that can't be read, are zeros."""
     lower = {k.lower(): v for k, v in columns_map.items()}
     out = []
     for f in schema:
-        path = _path(lower.get(f.name.lower(), f.name))
-        text = F.get_json_object(F.col(document), path)
-        if isinstance(f.dataType, T.ArrayType | T.MapType):
-            value = F.from_json(text, f.dataType)
-        elif isinstance(f.dataType, T.StringType):
-            # only a JSON string is a string; other values are empty
-            kind = F.expr(f"schema_of_variant(variant_get(try_parse_json(`{document}`), '{_variant_path(lower.get(f.name.lower(), f.name))}', 'variant'))")
-            value = F.when(kind == "STRING", text)
-        else:
-            value = text.try_cast(f.dataType)
-            if f.dataType in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
-                value = F.coalesce(value, text.try_cast("double").try_cast(f.dataType))
+        path = _variant_path(lower.get(f.name.lower(), f.name))
+        value = F.try_variant_get("__v", path, f.dataType.simpleString())
+        if isinstance(f.dataType, T.StringType):  # only a JSON string is a string; other values are empty
+            value = F.when(F.schema_of_variant(F.try_variant_get("__v", path, "variant")) == "STRING", value)
+        elif isinstance(f.dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType):  # also a text like "3.7"
+            value = F.coalesce(value, F.try_variant_get("__v", path, "double").try_cast(f.dataType))
         out.append(or_zero(value, f.dataType).alias(f.name))
     return out
 
 
 def _variant_path(name: str) -> str:
-    return "$" + "".join('["' + p.replace("'", "\\'") + '"]' for p in name.split("."))
+    return "$" + "".join('["' + p + '"]' for p in name.split("."))
 
 
 def read_json(spark: SparkSession, paths: Paths, schema: T.StructType, props: JsonProps = JsonProps()) -> DataFrame:  # noqa: B008
     """JSON: an object per line; or, with ``rows_field``, documents whose root (``[ROOT]``) or field is an array of objects.
 
-    Dotted names are paths. ``columns_map`` renames columns, case-insensitively: column to path. Lines that are no JSON give rows
-    of zeros.
+    Dotted names are paths. ``columns_map`` renames columns, case-insensitively: column to path. Lines that are no JSON, or repeat a key in
+    one object, give rows of zeros. Each line is parsed once.
     """
     wanted = list(paths) if not isinstance(paths, str) else paths
     if not props.rows_field:
@@ -108,12 +107,12 @@ def read_json(spark: SparkSession, paths: Paths, schema: T.StructType, props: Js
         whole = spark.read.text(wanted, wholetext=True)
         rows = F.col("value") if props.rows_field == "[ROOT]" else F.get_json_object("value", _path(props.rows_field))
         lines = whole.select(F.explode(F.from_json(rows, "array<string>")).alias("__doc"))
-    return lines.select(*_of_json("__doc", schema, props.columns_map))
+    return _parsed(lines, "__doc").select(*_of_json(schema, props.columns_map))
 
 
 def of_json_texts(df: DataFrame, column: str, schema: T.StructType, columns_map: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Columns out of JSON texts that a frame already has, such as messages."""
-    return df.withColumn("__doc", F.col(column)).select(*keep, *_of_json("__doc", schema, columns_map or {}))
+    return _parsed(df, column).select(*keep, *_of_json(schema, columns_map or {}))
 
 
 def read_parquet(spark: SparkSession, paths: Paths, schema: T.StructType | None = None) -> DataFrame:
