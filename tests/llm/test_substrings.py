@@ -66,10 +66,13 @@ def test_equal_windows_share_their_minimizer():
     shared = [f"s{i}".encode() for i in range(80)]
     hashes = substrings._Hashes()
     keys = []
-    for _ in range(2):
-        words = [str(rng.random()).encode() for _ in range(50)] + shared + [str(rng.random()).encode() for _ in range(50)]
-        key, first, last = substrings.segments(words, hashes, 35, 8)
-        by_start = {s: k for k, a, b in zip(key.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)}
+    documents = [[str(rng.random()).encode() for _ in range(50)] + shared + [str(rng.random()).encode() for _ in range(50)] for _ in range(2)]
+    documents[1:1] = [[], [b"few", b"words"], shared[:35], shared[:34]]
+    who, key, first, last = substrings.segments(documents, hashes, 35, 8)
+    for d, words in enumerate(documents):
+        by_start = {s: k for w, k, a, b in zip(who.tolist(), key.tolist(), first.tolist(), last.tolist(), strict=True) if w == d for s in range(a, b + 1)}
         assert sorted(by_start) == list(range(len(words) - 34))
-        keys.append([by_start[s] for s in range(50, 50 + 80 - 34)])
+        if len(words) > 100:
+            keys.append([by_start[s] for s in range(50, 50 + 80 - 34)])
     assert keys[0] == keys[1]
+    assert substrings.segments([[]], hashes, 35, 8)[0].tolist() == []

@@ -17,6 +17,7 @@ A minimizer with more than KEY_SEGMENTS different segments is counted window by
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ WINDOW, GRAM = 35, 8
 #: Bits of the bitmap of repeated minimizers: 16 MB, whatever the corpus' size.
 MINIMIZER_BITS = 1 << 27
 #: Different segments in a shard, about, and of one minimizer, at most.
-SHARD_SEGMENTS, KEY_SEGMENTS = 16_384, 32_768
+SHARD_SEGMENTS, KEY_SEGMENTS = 8_192, 16_384
 #: Different words of which a task remembers the hashes.
 REMEMBERED = 200_000
 
@@ -47,16 +48,21 @@ class _Hashes(dict):
         return value
 
 
-def segments(words: list[bytes], hashes: _Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first and last window start of each segment."""
-    n = len(words) - window + 1
+def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of several documents' words: document, minimizer, first and last window start in the document.
+
+    All documents go through one pass over their joined words; windows across a border are left out.
+    """
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+    total = int(sizes.sum())
+    n = total - window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none, none
     base = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        g = np.zeros(len(words) - gram + 1, np.uint64)
+        h = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(documents)), np.uint64, total)
+        g = np.zeros(total - gram + 1, np.uint64)
         for j in range(gram):
             g = g * base + h[j : j + len(g)]
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
@@ -69,9 +75,15 @@ def segments(words: list[bytes], hashes: _Hashes, window: int, gram: int) -> tup
         at, width = np.where(g[left] <= g[right], left, right), 2 * width
     left, right = at[:n], at[grams - width : grams - width + n]
     at = np.where(g[left] <= g[right], left, right)
-    first = np.concatenate(([0], np.nonzero(np.diff(at))[0] + 1))
-    last = np.concatenate((first[1:] - 1, [n - 1]))
-    return g[at[first]], first, last
+    owner = np.repeat(np.arange(len(documents)), sizes)
+    inside = owner[:n] == owner[window - 1 :]
+    edge = np.nonzero((np.diff(at) != 0) | (np.diff(owner[:n]) != 0) | (inside[1:] != inside[:-1]))[0] + 1
+    first = np.concatenate(([0], edge))
+    last = np.concatenate((edge - 1, [n - 1]))
+    first, last = first[inside[first]], last[inside[first]]
+    who = owner[first]
+    zero = (np.cumsum(sizes) - sizes)[who]
+    return who, g[at[first]], first - zero, last - zero
 
 
 class WaveletMatrix:
@@ -190,8 +202,8 @@ def _count_minimizers(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for cols in slices(batches, "text"):
-            keys = [segments(t.split(), hashes, window, gram)[0] for t in cols["text"]]
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            keys = segments([t.split() for t in cols["text"]], hashes, window, gram)[1]
+            found, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return texts.mapInArrow(run, "key long, n long")
@@ -205,17 +217,14 @@ def _scan(docs: DataFrame, repeated: bytes, window: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = _Hashes(), np.frombuffer(mask.value, np.uint8)
         for cols in slices(batches, "text"):
-            counts, whole, found = [], [], []
-            for text in cols["text"]:
-                words = text.split()
-                keys, first, last = segments(words, hashes, window, gram)
-                mine = []
-                if len(keys):
-                    at = np.nonzero(in_bitmap(bits, keys))[0]
-                    mine = [{"key": k, "start": a, "words": b" ".join(words[a : b + window]).decode()} for k, a, b in zip(keys[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True)]
-                counts.append(len(words))
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                found.append(mine)
+            documents = [t.split() for t in cols["text"]]
+            who, keys, first, last = segments(documents, hashes, window, gram)
+            at = np.nonzero(in_bitmap(bits, keys))[0]
+            found: list[list[dict]] = [[] for _ in documents]
+            for d, k, a, b in zip(who[at].tolist(), keys[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                found[d].append({"key": k, "start": a, "words": b" ".join(documents[d][a : b + window]).decode()})
+            counts = list(map(len, documents))
+            whole = [hashlib.sha256(b" ".join(words)).hexdigest() for words in documents]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols["doc_id"], pa.int64()), pa.array(cols["digest"], pa.int64()), pa.array(counts, pa.int64()), pa.array(whole), pa.array(found, kind)],
                 names=["doc_id", "digest", "n_words", "kept_sha256", "segments"],
@@ -228,26 +237,29 @@ def _judge(different: DataFrame, window: int) -> DataFrame:
     """``different`` (key, words, n) with ``starts`` (array), where it isn't empty: by FM-indexes, or by counting for keys with too
     many segments."""
     keys = cut(different.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")))
-    every = F.sequence(F.lit(0), F.size(F.split("words", " ")) - window)
-    # all copies of one segment: nothing to search
-    alone = different.join(keys.where("m = 1 and most > 1").select("key"), "key").select("key", "words", every.alias("starts"))
-    usual = keys.where(f"m between 2 and {KEY_SEGMENTS}")
+    # a key with one segment that occurs once has no repeated window
+    usual = keys.where(f"m <= {KEY_SEGMENTS} and (m > 1 or most > 1)")
     total = usual.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // SHARD_SEGMENTS)))).cast("int")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = judge_shard(pdf.words.tolist(), pdf.n.to_numpy(np.int64), window)
-        out = pd.DataFrame({"key": pdf.key, "words": pdf.words, "starts": starts})
-        return out[[len(x) > 0 for x in starts]]
-
-    indexed = different.join(usual.select("key"), "key").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "key long, words string, starts array<int>")
+        alone = (pdf.m == 1).to_numpy()
+        # all copies of one segment: nothing to search
+        starts = [list(range(w.count(" ") + 2 - window)) if a else [] for w, a in zip(pdf.words, alone, strict=True)]
+        rest = pdf[~alone]
+        if len(rest):
+            for i, found in zip(np.nonzero(~alone)[0].tolist(), judge_shard(rest.words.tolist(), rest.n.to_numpy(np.int64), window), strict=True):
+                starts[i] = found
+        return pd.DataFrame({"key": pdf.key, "words": pdf.words, "starts": starts})[[len(x) > 0 for x in starts]]
+
+    indexed = different.join(usual.select("key", "m"), "key").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "key long, words string, starts array<int>")
     crowded = keys.where(f"m > {KEY_SEGMENTS}").select("key")
     windows = different.join(crowded, "key").select(
         "key", "words", "n", F.posexplode(F.expr(f"transform(sequence(1, size(split(words, ' ')) - {window} + 1), i -> md5(cast(array_join(slice(split(words, ' '), i, {window}), ' ') as binary)))")).alias("start", "w")
     )
-    often = windows.groupBy("key", "w").agg(F.sum("n").alias("times")).where("times > 1").select("key", "w")
+    often = cut(windows.groupBy("key", "w").agg(F.sum("n").alias("times")).where("times > 1").select("key", "w"))  # a table, so that the join can split a common window
     counted = windows.join(often, ["key", "w"]).groupBy("key", "words").agg(F.collect_set("start").alias("starts"))
-    return alone.unionByName(indexed).unionByName(counted)
+    return indexed.unionByName(counted)
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
