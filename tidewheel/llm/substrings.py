@@ -34,6 +34,8 @@ WINDOW, GRAM = 35, 8
 MINIMIZER_BITS = 1 << 27
 #: Different segments in a shard, about, and of one minimizer, at most.
 SHARD_SEGMENTS, KEY_SEGMENTS = 8_192, 16_384
+#: Keys with too many segments that go to all executors, at most: under a MB.
+BROADCAST_KEYS = 50_000
 #: Different words of which a task remembers the hashes.
 REMEMBERED = 200_000
 
@@ -254,6 +256,11 @@ def _judge(different: DataFrame, window: int) -> DataFrame:
 
     indexed = different.join(usual.select("key", "m"), "key").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "key long, words string, starts array<int>")
     crowded = keys.where(f"m > {KEY_SEGMENTS}").select("key")
+    many = crowded.count()
+    if not many:
+        return indexed
+    if many <= BROADCAST_KEYS:  # then no text is shuffled, and a key's segments stay where they are
+        crowded = F.broadcast(crowded)
     windows = different.join(crowded, "key").select(
         "key", "words", "n", F.posexplode(F.expr(f"transform(sequence(1, size(split(words, ' ')) - {window} + 1), i -> md5(cast(array_join(slice(split(words, ' '), i, {window}), ' ') as binary)))")).alias("start", "w")
     )
