@@ -401,7 +401,7 @@ max_ = _aggregate("max", aggregates.max_)
 avg = _aggregate("avg", aggregates.avg)
 avg_exact = _aggregate("avg", aggregates.avg_exact)
 pct = _aggregate("pct", aggregates.pct)
-card = _aggregate("card", lambda x, kind, exact=False: aggregates.card(x, exact))
+card = _aggregate("card", aggregates.card)
 hist = _aggregate("hist", aggregates.hist)
 
 
