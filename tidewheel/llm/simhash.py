@@ -201,17 +201,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairs_per_key: int = PAIRS_
 
 
 def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component of near_duplicates does: that of the smallest doc_id (nulls last).
+    """The rows of ``docs`` that stay when one row of each component of near_duplicates does: that of the smallest doc_id (nulls last)."""
+    # a null component_id joins those whose ids are all null, each by its fingerprint
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
+    return one_of_each(docs, near_duplicates(docs, words).select("doc_id", "digest", group.alias("group")))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id (nulls last) of each group; ``named`` has ``doc_id``, ``digest`` and ``group`` of every row.
 
     Of rows that share this id, the one whose text has the smallest digest stays; of rows equal in both, one. All columns are
     kept.
     """
-    named = cut(near_duplicates(docs, words))
-    # a null component_id joins those whose ids are all null, each by its fingerprint
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
-    first = named.withColumn("group", group).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    named = cut(named)
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"))
     crowds = cut(first.where("rows > 1").select("group", "first"))
-    members = cut(named.withColumn("group", group).join(crowds, "group").select("doc_id", "digest", "first"))
+    members = cut(named.join(crowds, "group").select("doc_id", "digest", "first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     kept = without(docs, members.where(~stays).select("doc_id", "digest"))
     again = cut(members.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
