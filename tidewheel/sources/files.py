@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,56 +17,83 @@ from .convert import from_text, headers, or_zero
 Paths = str | Sequence[str]
 
 
-def _first_line(spark: SparkSession, paths: Paths) -> str:
-    """The first line of the first file, in file order: one task reads one line."""
-    path = paths if isinstance(paths, str) else paths[0]
-    row = spark.read.text(path).where(F.trim("value") != "").first()
-    return (row[0] if row else "").lstrip("﻿")
+def _heads(spark: SparkSession, paths: Paths, count: int) -> list[tuple[str | list[str], list[str]]]:
+    """The first ``count`` lines, blank ones aside, of each file that has one: (path, lines).
+
+    Of a single file one task reads one line after the other; of many, one pass over the texts gives all.
+    """
+    texts = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    if len(texts.inputFiles()) <= 1:
+        found = [r[0].lstrip("\ufeff") for r in texts.where(F.trim("value") != "").limit(count).collect()]
+        return [(paths if isinstance(paths, str) else list(paths), found)] if found else []
+    rest = texts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value").where("start = 0 and trim(value) <> ''")
+    heads: dict[str, list[str]] = {}
+    last = None
+    for _ in range(count):
+        left = rest if last is None else rest.join(F.broadcast(last), "file").where("at > before")
+        row = left.groupBy("file").agg(F.min(F.struct("at", "value")).alias("row"))
+        found = row.select("file", "row.at", "row.value").collect()
+        for r in found:
+            heads.setdefault(r["file"], []).append(r["value"].lstrip("\ufeff"))
+        last = spark.createDataFrame([(r["file"], r["at"]) for r in found], "file string, before long")
+    return [(re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)), lines) for f, lines in sorted(heads.items())]
 
 
 def read_csv(spark: SparkSession, paths: Paths, schema: T.StructType | None = None, props: CsvProps = CsvProps()) -> DataFrame:  # noqa: B008
     """CSV with RFC 4180 quoting, which may span lines.
 
-    Headers are normalized and matched by name; without one, columns go by their place. Without a schema, all headers are read as
-    texts. Nothing is null: what can't be read is its kind's zero. Records shorter than the file's columns are dropped.
+    Each file's headers are normalized and matched by name; without headers, columns go by their place. Files of equal headers are read
+    together. Without a schema, all headers of all files are read as texts. Nothing is null: what can't be read is its kind's zero. Records
+    without a cell for the last wanted column of their file are dropped; those with more cells stay.
     """
-    line = _first_line(spark, paths)
-    cells = next(csv.reader([line], delimiter=props.delimiter), [])
-    if props.has_header:
-        names = headers(cells)
-    elif schema is not None:
-        names = [*schema.names, *(f"__extra_{i}" for i in range(len(cells) - len(schema.names)))]
-    else:
-        names = [f"col_{i}" for i in range(len(cells))]
-    read = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    # without pruning, so that which records are too short doesn't depend on the columns asked for
-    reader = spark.read.schema(read).options(header=props.has_header, enforceSchema=True, sep=props.delimiter, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED", columnPruning=False, nullValue="\u0000", emptyValue="")
+    groups: dict[tuple, list] = {}
+    for path, lines in _heads(spark, paths, props.has_header + props.has_meta or 1):
+        cells = [next(csv.reader([x], delimiter=props.delimiter), []) for x in lines]
+        names = tuple(headers(cells[0])) if props.has_header else ()
+        meta = tuple(cells[props.has_header]) if props.has_meta and len(cells) > props.has_header else ()
+        found = groups.setdefault((names, meta), [0, []])
+        found[0] = max(found[0], len(cells[0]))
+        found[1] += [path] if isinstance(path, str) else path
+    if not groups:  # no file has a line
+        groups[((), ())] = [0, [paths] if isinstance(paths, str) else list(paths)]
+    width = max(n for n, _ in groups.values())
+    parts = []
+    for (names, meta), (_, files) in groups.items():
+        if not props.has_header:
+            names = tuple(schema.names) if schema is not None else tuple(f"col_{i}" for i in range(width))
+        parts.append(_of_csv(spark, files, list(names), meta, schema, props))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=schema is None)
+    return out if schema is not None else out.fillna("")
+
+
+def _of_csv(spark: SparkSession, paths: list[str], names: list[str], meta: tuple[str, ...], schema: T.StructType | None, props: CsvProps) -> DataFrame:
+    """Files of the columns ``names``."""
+    missing = [f.name for f in schema or () if f.name not in names]
+    if missing:
+        raise ValueError(f"{paths[0]!r} has no column {missing[0]!r}")
+    read = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__record"]])
+    # without pruning, so that a record of another number of cells than the columns is always marked
+    reader = spark.read.schema(read).options(header=props.has_header, enforceSchema=True, sep=props.delimiter, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__record", columnPruning=False, nullValue="\u0000", emptyValue="")
     if props.compression:
         reader = reader.option("compression", props.compression)
-    good = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if props.has_meta:  # a second line that describes the columns: the first record of each file
-        good = _without_meta(spark, good, paths, props)
+    good = reader.csv(paths)
+    wanted = max((names.index(n) for n in (schema.names if schema is not None else names)), default=-1) + 1
+    if 0 < wanted:
+        sep = re.escape(props.delimiter)
+        bare = F.regexp_replace("__record", f'(^|{sep})"[^"]*+(?:""[^"]*+)*+"', "$1")
+        good = good.where(F.col("__record").isNull() | F.col(f"`{names[wanted - 1]}`").isNotNull() | (F.size(F.split(bare, sep, -1)) >= wanted))
+    if meta:  # a second line that describes the columns: the first record of each file
+        same = F.lit(True)
+        for n, value in zip(names, meta, strict=False):
+            same = same & (F.coalesce(F.col(f"`{n}`"), F.lit("")) == F.lit(value))
+        good = good.where(~same)
     if schema is None:
         return good.select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
-    missing = [f.name for f in schema if f.name not in names]
-    if missing:
-        raise ValueError(f"the file has no column {missing[0]!r}")
     return good.select(*(from_text(F.col(f"`{f.name}`"), f.dataType, formatted=True).alias(f.name) for f in schema))
 
 
-def _without_meta(spark: SparkSession, df: DataFrame, paths: Paths, props: CsvProps) -> DataFrame:
-    lines = spark.read.text(paths if isinstance(paths, str) else paths[0]).limit(2).collect()
-    at = 1 if props.has_header else 0
-    if len(lines) <= at:
-        return df
-    meta = next(csv.reader([lines[at][0]], delimiter=props.delimiter), [])
-    columns = [c for c in df.columns if not c.startswith("__")]
-    same = F.lit(True)
-    for c, value in zip(columns, meta, strict=False):
-        same = same & F.col(f"`{c}`").eqNullSafe(F.lit(value))
-    return df.where(~same)
-
-
 def _path(name: str) -> str:
     """A column's dotted name as a JSON path."""
     return "$" + "".join(f"['{p}']" for p in name.split("."))
