@@ -53,8 +53,39 @@ def _rows(payload: bytes, kind: str, schema: T.StructType, csv_props: CsvProps,
     raise ValueError(f"format {kind!r} over HTTP")
 
 
+def _converted(value, kind):
+    """A value of one Arrow type in another; null where it can't be converted."""
+    import math
+
+    import pyarrow as pa
+
+    try:
+        if pa.types.is_string(kind) and isinstance(value, float):
+            return str(value)
+        if pa.types.is_integer(kind) and isinstance(value, float):
+            value = math.trunc(value)
+        return pa.scalar(value).cast(kind).as_py()
+    except (pa.ArrowException, ValueError, OverflowError):
+        return None
+
+
+def _parquet(payload: bytes, arrow) -> Iterator:
+    """Batches of a Parquet file's declared columns, as read_parquet has them: all must be there, and what can't be converted is null."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    file = pq.ParquetFile(pa.BufferReader(payload))
+    missing = [f.name for f in arrow if f.name not in file.schema_arrow.names]
+    if missing:
+        raise ValueError(f"the file has no column {missing[0]!r}")
+    wanted = None if any("." in f.name for f in arrow) else arrow.names  # with columns=, a dot is a path
+    for batch in file.iter_batches(10_000, columns=wanted):
+        cells = [batch.column(batch.schema.get_field_index(f.name)) for f in arrow]
+        yield pa.RecordBatch.from_arrays([c if c.type == f.type else pa.array([_converted(x, f.type) for x in c.to_pylist()], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+
+
 def http_table(spark: SparkSession, urls: Sequence[str], kind: str, schema: T.StructType, headers: Mapping[str, str] | None = None, bodies: Sequence[bytes | None] | None = None, csv_props: CsvProps = CsvProps(), json_props: JsonProps = JsonProps(), fetch: Fetch = download) -> DataFrame:  # noqa: B008
-    """A frame of what the URLs answer, CSV or JSON; each URL is fetched by a task, and its rows stay there.
+    """A frame of what the URLs answer, CSV, JSON or Parquet; each URL is fetched by a task, and its rows stay there.
 
     ``fetch`` is shipped to the tasks; tests inject one.
     """
@@ -78,7 +109,11 @@ def http_table(spark: SparkSession, urls: Sequence[str], kind: str, schema: T.St
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = _rows(fetch(url, sent, body), kind, schema, csv_props, json_props)
+                payload = fetch(url, sent, body)
+                if kind == "PARQUET":
+                    yield from _parquet(payload, arrow)
+                    continue
+                rows = _rows(payload, kind, schema, csv_props, json_props)
                 for i in range(0, len(rows), 10_000):
                     part = rows[i : i + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([_value(pick(r, f.name), f.dataType) if zero(f.dataType) is not None else pick(r, f.name) for r in part], a.type) for f, a in zip(schema, arrow, strict=True)], schema=arrow)
