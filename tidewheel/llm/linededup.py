@@ -7,6 +7,9 @@ Once suffixes are ranked by ``min_lines`` lines, those of equal rank are one int
 longest common prefixes have at least that length: its members begin the same run of lines. The first stays; the runs of
 the later ones are deleted. Where windows overlap, they make up the maximal repeated run.
 
+With MIN_LINES of 2, as the registered query has it, this is one doubling step: pairs of adjacent lines are grouped. Suffixes
+aren't sorted beyond two lines and longest common prefixes aren't computed; longer runs are unions of such pairs.
+
 Suffixes that are alone in their class can't be in any interval and leave at once, so each round works on the repeated
 rest. Ranks come from sums over ranges of the sorted classes, so a class of any size and a line of any frequency
 are spread over the tasks. All of it is DataFrame operations.
