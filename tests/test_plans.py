@@ -39,3 +39,15 @@ def test_filters_reach_the_scan(spark):
 
 def test_samples_keep_the_best_only(spark):
     assert "TakeOrderedAndProject" in plan(spark, "samples_topk")
+
+
+def test_a_request_for_all_rows(spark):
+    from tidewheel.engine import Engine
+    from tidewheel.plans.request import ALL_ROWS, Metric, QueryRequest
+    from tidewheel.spec import TimeSpec
+
+    assert "Limit" not in plan(spark, "custom_service")
+    engine = Engine(spark)
+    engine.catalog.register("many", spark.range(1500), TimeSpec("STATIC", value=1))
+    request = QueryRequest("many", 0, 2, None, ["id"], [Metric("id", "COUNT")], top=ALL_ROWS)
+    assert engine.query(request).count() == 1500

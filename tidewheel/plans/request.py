@@ -22,6 +22,8 @@ if TYPE_CHECKING:
 
 # Names, numbers and defaults of service requests.
 DEFAULT_TOP = 100
+#: As a request's ``top``: all rows.
+ALL_ROWS = -1
 #: A tree's smallest count in service requests.
 TREE_THRESHOLD = 3
 OPERATIONS = ("EQ", "NEQ", "MORE", "LESS", "LIKE", "ILIKE", "UNLIKE", "IUNLIKE")
@@ -208,7 +210,7 @@ def to_query(request: QueryRequest, catalog: Catalog) -> Query:
             found = next((i for i in range(len(names), 0, -1) if names[i - 1] == request.order.column), None)
             if found:
                 q = q.sortby(found, request.order.type == "DESC")
-        return q.limit(request.top or DEFAULT_TOP)
+        return q.limit(0 if request.top == ALL_ROWS else request.top or DEFAULT_TOP)
     except EngineError:
         raise
     except (TypeError, ValueError, KeyError) as e:

@@ -19,7 +19,7 @@ from ..operators.aggregates import tree_counts
 from ..operators.transforms import map_columns, pivot, remove, unpack_histogram
 from ..plans.expressions import avg, avg_exact, between, card, col, count, hist, in_, like, max_, min_, nin, pct, reverse, round_time, script, starts, sum_, tpm, v
 from ..plans.query import Query
-from ..plans.request import All, Any, Custom, Metric, Order, Predicate, QueryRequest
+from ..plans.request import ALL_ROWS, All, Any, Custom, Metric, Order, Predicate, QueryRequest
 from ..spec import ColumnProps, TimeSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,7 +266,7 @@ def _rest() -> None:
         lambda spark, d: remove(map_columns(pivoted(spark, d), {"ratio": "click / nullif(view, 0)"}), "click", "view", "purchase")
     )
     register("custom_service", f"SELECT tens, count(*) AS n FROM (SELECT user_id // 10 AS tens FROM {EVENTS} WHERE _time_ BETWEEN {START} AND {END}) WHERE tens > 2 GROUP BY 1")(
-        lambda spark, d: engine(spark, d, "events").query(QueryRequest("events", START, END, Predicate("tens", "MORE", [2]), ["tens"], [Metric("tens", "COUNT")], [Custom("tens", "LONG", "user_id div 10")], top=1000)).withColumnRenamed("tens.COUNT", "n")
+        lambda spark, d: engine(spark, d, "events").query(QueryRequest("events", START, END, Predicate("tens", "MORE", [2]), ["tens"], [Metric("tens", "COUNT")], [Custom("tens", "LONG", "user_id div 10")], top=ALL_ROWS)).withColumnRenamed("tens.COUNT", "n")
     )
 
     def state(spark, d):
