@@ -62,3 +62,58 @@ def test_tables_and_login(spark):
     assert e.table("t").select(col("n")).build(QueryContext.of("x", ["a"])).count() == 3
     with pytest.raises(AuthRequired):
         e.table("t").select(col("n")).build(QueryContext.of("x", (), auth_required=True))
+
+
+def test_computed_columns_are_resolved(spark, table):
+    from pyspark.sql import types as T
+
+    from tidewheel.errors import FailCompileQuery
+    from tidewheel.plans.request import Custom, Metric, Predicate, QueryRequest
+
+    spark.range(1).createOrReplaceTempView("anything")
+    text = lambda sql, name="x": table.apply(name, T.StringType(), sql)
+    # another spelling, a script over a script, and a column replaced by a script: masked or refused like the column itself
+    for q in (text("upper(EMAIL)"), text("`eMail`"), text("() => t.column('EMAIL')"), text("concat(email, '')", "y").apply("x", T.StringType(), "reverse(Y)"), text("upper(email)", "EVENT").apply("x", T.StringType(), "event")):
+        assert {r[0] for r in q.select(col("x")).build(ME).collect()} == {"***"}
+        assert "***" not in {r[0] for r in q.select(col("x")).build(MEMBER).collect()}
+        with pytest.raises(PermissionRequired):
+            q.where(col("x") == "A@B.C").select(col("id")).build(ME)
+        with pytest.raises(PermissionRequired):
+            q.select(max_(col("x")).as_("m")).build(ME)
+    with pytest.raises(PermissionRequired):
+        table.apply("f", T.LongType(), lambda x: x, ["FUND"]).select(col("f")).build(ME)
+    with pytest.raises(PermissionRequired):
+        table.where(script("s", T.LongType(), "FUND") > 1).select(col("event")).build(ME)
+    refused = ("to_json(struct(*))", "(select max(id) from anything)", "exists(select 1)", "java_method('java.lang.System', 'getProperty', 'user.home')", "reflect('java.lang.System', 'getProperty', 'user.home')", "identifier('reflect')('a', 'b')", "current_user()", "max(email)", "no_such_function(1)", "no_such_column")
+    for sql in refused:
+        for context in (ME, MEMBER):
+            with pytest.raises(FailCompileQuery):
+                text(sql).select(col("x")).build(context)
+    e = Engine(spark)
+    e.catalog.register("t", table.table.source, columns=table.table.column_props)
+    ask = lambda sql, **more: QueryRequest("t", 0, 1, more.pop("filter", None), ["x"], more.pop("metrics", ()), [Custom("x", "STRING", sql)])
+    assert {r[0] for r in e.query(ask("upper(EMAIL)"), ME).collect()} == {"***"}
+    for request, error in ((ask("upper(FUND)"), PermissionRequired), (ask("upper(EMAIL)", filter=Predicate("x", "LIKE", ["A%"])), PermissionRequired), *((ask(sql), FailCompileQuery) for sql in refused)):
+        with pytest.raises(error):
+            e.query(request, ME)
+
+
+def test_nothing_runs_before_the_check(spark):
+    from pyspark.sql import functions as F
+
+    from tidewheel.plans.request import Metric, QueryRequest
+
+    e = Engine(spark)
+    fails = spark.range(3).select(F.raise_error(F.lit("it ran")).cast("long").alias("n"), F.lit(0).cast("long").alias("_time_"))
+    e.catalog.register("t", fails, columns={"N": DENIED})
+    with pytest.raises(PermissionRequired):
+        e.query(QueryRequest("t", 0, 1, None, (), [Metric("n", "HIST")]), ME)
+
+
+def test_registered_functions(spark):
+    from pyspark.sql import types as T
+
+    e = Engine(spark)
+    e.register_function("thrice", lambda x: x * 3, "long")
+    e.catalog.register("t", spark.range(3).toDF("n"))
+    assert sorted(r[0] for r in e.table("t").apply("x", T.LongType(), "thrice(n)").select(col("x")).build(ME).collect()) == [0, 3, 6]

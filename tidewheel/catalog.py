@@ -38,7 +38,6 @@ class Table:
     rules: Sequence[Rule] = ()
     spec: TableSpec | None = None
     time_from: str | None = None
-    _bounds: dict = field(default_factory=dict)
 
     def frame(self) -> DataFrame:
         """The rows, without layout columns."""
@@ -63,15 +62,8 @@ class Table:
         return Table(self.name, rows).frame()
 
     def column_rules(self, name: str) -> Sequence[Rule]:
-        props = self.column_props.get(name)
-        return props.rules if props else ()
-
-    def bounds(self, name: str) -> tuple[float, float]:
-        """Least and largest value of a numeric column; asked for once."""
-        if name not in self._bounds:
-            row = self.frame().agg(F.min(f"`{name}`"), F.max(f"`{name}`")).first()
-            self._bounds[name] = (row[0] if row[0] is not None else 0, row[1] if row[1] is not None else 0)
-        return self._bounds[name]
+        """The rules of a column, whose name is the same in any case, as it is to SQL."""
+        return tuple(r for n, p in self.column_props.items() if n.lower() == name.lower() for r in p.rules)
 
     def histograms(self) -> DataFrame:
         """Per column its histogram as JSON: counts; of booleans the true ones; of numbers least, largest, sum. One pass."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import Catalog
 from .operators.access import QueryContext
 from .plans import request as requests
+from .plans import scripts
 from .plans.query import Query
 
 
@@ -34,3 +35,4 @@ class Engine:
         from pyspark.sql import functions as F
 
         self.spark.udf.register(name, F.pandas_udf(function, kind))
+        scripts.register(name)

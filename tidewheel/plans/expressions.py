@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import arithmetic, codecs, patterns, timefns
 from ..operators import aggregates
 from ..schema import is_numeric, zero
+from .scripts import check_sql
 
 #: Lists longer than this are joined rather than compared value by value.
 IN_LIST = 1000
@@ -44,8 +45,13 @@ class Expr:
         return ()
 
     def references(self) -> set[str]:
+        """Names of the columns it has; those of scripts are known only once they are resolved."""
         return set().union(*(c.references() for c in self.children()))
 
+    def scripts(self) -> list[Script]:
+        """The scripts in it."""
+        return [s for c in self.children() for s in c.scripts()]
+
     @property
     def is_aggregate(self) -> bool:
         return any(c.is_aggregate for c in self.children())
@@ -262,6 +268,29 @@ class Aggregate(Expr):
         return self.make(x, kind)
 
 
+@dataclass(eq=False)
+class BoundedHistogram(Expr):
+    """A histogram between the least and the largest value within the query's time range; they are asked for when it is built, which is after
+    the access check."""
+
+    inner: Expr
+
+    def __post_init__(self):
+        self.name = self.inner.name
+
+    def children(self):
+        return (self.inner,)
+
+    @property
+    def is_aggregate(self):
+        return True
+
+    def column(self, scope):
+        x, kind = self.inner.column(scope)
+        low, high = scope.df.agg(F.min(x), F.max(x)).first()
+        return hist(self.inner, low or 0, high or 0).column(scope)
+
+
 @dataclass(eq=False)
 class TreeMerge(Expr):
     """Merged stacks; built by the query, since it takes a plan of its own."""
@@ -286,13 +315,15 @@ class Script(Expr):
     def __init__(self, name: str, kind: T.DataType, body: str | Callable, inputs: Sequence[str] = ()):
         self.name, self.kind, self.body, self.inputs = name, kind, body, inputs
 
-    def references(self):
-        return set(self.inputs) if callable(self.body) else set(_names_in(sql_of(self.body)))
+    def scripts(self):
+        return [self]
 
     def column(self, scope):
         if callable(self.body):
             return F.pandas_udf(self.body, self.kind)(*(F.col(f"`{c}`") for c in self.inputs)), self.kind
-        return F.expr(sql_of(self.body)).try_cast(self.kind), self.kind
+        sql = sql_of(self.body)
+        check_sql(scope.df.sparkSession, sql)
+        return F.expr(sql).try_cast(self.kind), self.kind
 
 
 _ARROW = re.compile(r"^\s*(?:const\s+\w+\s*=\s*)?\(\s*\)\s*=>\s*(.+?);?\s*$", re.S)
@@ -318,12 +349,6 @@ def sql_of(body: str) -> str:
     return text.replace("===", "=").replace("!==", "<>").replace("==", "=").replace("&&", " and ").replace("||", " or ")
 
 
-def _names_in(sql: str) -> Iterable[str]:
-    """Names in an SQL expression, as far as access rules care: every identifier outside string literals."""
-    bare = re.sub(r"'(?:[^'\\]|\\.)*'", "", sql)
-    return [q or n for q, n in re.findall(r"`([^`]+)`|\b([A-Za-z_]\w*)\b", bare)]
-
-
 # what users write
 
 def col(name: str) -> Expr:

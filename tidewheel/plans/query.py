@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +19,18 @@ from ..errors import AuthRequired, EngineError, FailCompileQuery, MissingOutputF
 from ..operators import aggregates
 from ..operators.access import Access, Action, QueryContext, check, masked
 from ..schema import zero
+from ..sources.convert import unique
 from .expressions import Expr, In, Logical, Not, Scope, Script, Star, TreeMerge, lift
+from .scripts import columns_of
 
 if TYPE_CHECKING:
     from ..catalog import Table
 
 
+#: Values of a list that may be broadcast; they come with the request.
+BROADCAST_LIST = 1 << 20
+
+
 @dataclass(frozen=True)
 class Query:
     """Each method returns a new query; ``build`` gives the frame."""
@@ -70,23 +77,30 @@ class Query:
             return _build(self, context or QueryContext())
         except EngineError:
             raise
-        except (TypeError, ValueError, KeyError) as e:
+        except (TypeError, ValueError, KeyError, AnalysisException) as e:
             raise FailCompileQuery(str(e)) from e
 
 
-def _guard(query: Query, context: QueryContext, references: set[str], access: Access) -> Action:
-    """The strongest action on a set of columns; computed ones count as what they refer to."""
-    made = {s.name: s for s in query.scripts}
-    todo, seen, worst = list(references), set(), Action.PASS
-    while todo:
-        name = todo.pop()
-        if name in seen:
-            continue
-        seen.add(name)
-        if name in made:
-            todo += made[name].references()
-        worst = max(worst, check(access, context.groups, query.table.column_rules(name)))
-    return worst
+class _Guard:
+    """Access to columns. Computed columns count as the table's columns that they come from, as the analyser resolves them."""
+
+    def __init__(self, query: Query, context: QueryContext):
+        self.rules, self.groups = query.table.column_rules, context.groups
+        self.origin: dict[str, set[str]] = {}
+
+    def sources(self, names: set[str]) -> set[str]:
+        return names.union(*(self.origin.get(n.lower(), ()) for n in names))
+
+    def add(self, df: DataFrame, s: Script) -> DataFrame:
+        """``df`` with a computed column."""
+        column = s.column(Scope(df))[0]
+        self.origin[s.name.lower()] = self.sources(columns_of(df, column))
+        return df.withColumn(s.name, column)
+
+    def action(self, df: DataFrame, e: Expr, access: Access) -> Action:
+        """The strongest action on what an expression refers to."""
+        names = e.references().union(*(columns_of(df, s.column(Scope(df))[0]) for s in e.scripts()))
+        return max((check(access, self.groups, self.rules(n)) for n in self.sources(names)), default=Action.PASS)
 
 
 def _build(query: Query, context: QueryContext) -> DataFrame:
@@ -98,7 +112,12 @@ def _build(query: Query, context: QueryContext) -> DataFrame:
     if check(Access.READ, context.groups, table.rules) != Action.PASS:
         raise PermissionRequired(f"table {table.name}")
     df = table.frame()
-    names = set(df.columns) | {s.name for s in query.scripts}
+    if query.range:
+        df = table.within(df, *query.range)
+    guard = _Guard(query, context)
+    for s in query.scripts:
+        df = guard.add(df, s)
+    names = set(df.columns)
     fields: list[Expr] = []
     for f in query.fields:
         fields += [_column(c) for c in table.columns()] if isinstance(f, Star) else [f]
@@ -109,12 +128,11 @@ def _build(query: Query, context: QueryContext) -> DataFrame:
     if grouped and check(Access.AGGREGATION, context.groups, table.rules) != Action.PASS:
         raise PermissionRequired(f"aggregation of table {table.name}")
     for f in fields:
-        references = f.references()
-        if not isinstance(f, Script) and (missing := references - names):
+        if missing := f.references() - names:
             raise FailCompileQuery(f"no column {sorted(missing)[0]!r}")
-        action = _guard(query, context, references, Access.READ)
+        action = guard.action(df, f, Access.READ)
         if f.is_aggregate:
-            if max(action, _guard(query, context, references, Access.AGGREGATION)) != Action.PASS:
+            if max(action, guard.action(df, f, Access.AGGREGATION)) != Action.PASS:
                 raise PermissionRequired(f"aggregation of {f.name}")
         elif action == Action.DENY:
             raise PermissionRequired(f"column {f.name}")
@@ -122,19 +140,13 @@ def _build(query: Query, context: QueryContext) -> DataFrame:
     if query.filter is not None:
         if query.filter.is_aggregate:
             raise FailCompileQuery("a filter has no aggregates")
-        if _guard(query, context, query.filter.references(), Access.READ) != Action.PASS:
+        if guard.action(df, query.filter, Access.READ) != Action.PASS:
             raise PermissionRequired("a filter on a protected column")
 
-    if query.range:
-        df = table.within(df, *query.range)
-    for s in query.scripts:
-        if s.name in s.references() and s.name not in df.columns:
-            raise FailCompileQuery(f"column {s.name!r} refers to itself")
-        df = df.withColumn(s.name, s.column(Scope(df))[0])
     scope = Scope(df, query.null_as_default)
     if query.filter is not None:
         df = _filtered(df, query.filter, scope)
-    named = _named([f for f, _ in visible])
+    named = unique([f.name or f"field_{i + 1}" for i, (f, _) in enumerate(visible)])
     if len(query.sorts) > 1:
         raise FailCompileQuery("one sort key at most")
     if any(not 1 <= s <= len(fields) for s in query.sorts):
@@ -159,18 +171,6 @@ def _column(name: str) -> Expr:
     return Col(name)
 
 
-def _named(fields: list[Expr]) -> list[str]:
-    """Output names; a repeated one gets a number."""
-    out: list[str] = []
-    for i, f in enumerate(fields):
-        base = name = f.name or f"field_{i + 1}"
-        k = 1
-        while name in out:
-            name, k = f"{base}_{k}", k + 1
-        out.append(name)
-    return out
-
-
 def _filtered(df: DataFrame, condition: Expr, scope: Scope) -> DataFrame:
     """Long lists become semi and anti joins, where they are conjuncts; the rest is one predicate."""
     if isinstance(condition, Logical) and condition.op == "and":
@@ -179,8 +179,13 @@ def _filtered(df: DataFrame, condition: Expr, scope: Scope) -> DataFrame:
         condition = In(condition.inner.inner, condition.inner.values, not condition.inner.negated)
     if isinstance(condition, In) and condition.is_long:
         x, kind = condition.inner.column(scope)
-        values = df.sparkSession.createDataFrame([(v,) for v in sorted(set(condition.values))], T.StructType([T.StructField("__value", kind)]))
-        return df.where(x.isNotNull()).join(values, x == F.col("__value"), "left_anti" if condition.negated else "left_semi")
+        found = sorted(set(condition.values))
+        values = df.sparkSession.createDataFrame([(v,) for v in found], T.StructType([T.StructField("__value", kind)]))
+        if len(found) <= BROADCAST_LIST:  # the table stays where it is
+            values = F.broadcast(values)
+        # the list's range reaches the files, which a join's keys don't
+        rows = df.where(x.isNotNull() if condition.negated else x.between(F.lit(found[0]).cast(kind), F.lit(found[-1]).cast(kind)))
+        return rows.join(values, x == F.col("__value"), "left_anti" if condition.negated else "left_semi")
     column, kind = condition.column(scope)
     if not isinstance(kind, T.BooleanType):
         raise TypeError("a filter is a boolean")

@@ -145,7 +145,7 @@ def _constant(value, kind: T.DataType):
         raise FailBuildQuery(f"{value!r} is no {kind.simpleString()}") from None
 
 
-def _metric(m: Metric, table: Table) -> X.Expr:
+def _metric(m: Metric) -> X.Expr:
     column, method = X.Col(m.column), m.method.upper()
     if method in PERCENTILES:
         out = X.pct(column, PERCENTILES[method])
@@ -154,8 +154,7 @@ def _metric(m: Metric, table: Table) -> X.Expr:
     elif method == "CARD_EST":
         out = X.card(column)
     elif method == "HIST":
-        low, high = table.bounds(m.column)
-        out = X.hist(column, low, high)
+        out = X.BoundedHistogram(column)
     elif method in ("COUNT", "SUM", "MIN", "MAX", "AVG"):
         out = {"COUNT": X.count, "SUM": X.sum_, "MIN": X.min_, "MAX": X.max_, "AVG": X.avg}[method](column)
     else:
@@ -198,7 +197,7 @@ def to_query(request: QueryRequest, catalog: Catalog) -> Query:
             window_column(request.start, request.end, request.window, request.time_unit, request.tz_offset)  # refuses a bad range
         names = [WINDOW] * request.timeline + [n for d in request.dimensions for n in (table.columns() if d == "*" else [d])]
         keys = len(names)
-        fields += [_metric(m, table) for m in request.metrics]
+        fields += [_metric(m) for m in request.metrics]
         names += [m.column for m in request.metrics]
         q = q.select(*fields)
         if request.metrics or request.timeline:

@@ -139,6 +139,9 @@ def _projection() -> None:
 
     register("mask_column", "SELECT c_custkey, '***' AS c_name, 0.0::DOUBLE AS c_acctbal, c_mktsegment FROM customer")(masked)
     register("mask_column_member", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")(lambda spark, d: masked(spark, d, ("pii", "eng")))
+    register("mask_script", "SELECT c_custkey, '***' AS shown, c_mktsegment FROM customer")(
+        lambda spark, d: engine(spark, d, "customer", columns=rules).table("customer").apply("shown", T.StringType(), "upper(C_NAME)").select(col("c_custkey"), col("shown"), col("c_mktsegment")).build(QueryContext.of("someone", ["eng"]))
+    )
     fluent(
         "null_as_default", "events", lambda q: Query(q.table, null_as_default=True).apply("known", T.DoubleType(), "if(value > 100, null, value)").select(col("event_type"), min_(col("known")).as_("least"), count(col("known")).as_("n")),
         "SELECT event_type, min(coalesce(CASE WHEN value > 100 THEN NULL ELSE value END, 0)) AS least, count(*) AS n FROM events GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,16 +14,8 @@ from ..schema import is_integer, zero
 
 
 def normalize(name: str) -> str:
-    """A header as a column name: lower case, runs of other characters as one underscore."""
-    out, last = [], "-"
-    for ch in name:
-        if ch.isascii() and ch.isalnum() or (ch == "_" and last != "_"):
-            out.append(ch.lower())
-            last = ch
-        elif last != "_":
-            out.append("_")
-            last = "_"
-    return "".join(out)
+    """A header as a column name: lower case, anything but ASCII letters and digits as one underscore a run."""
+    return re.sub("[^A-Za-z0-9]+", "_", name).lower()
 
 
 def headers(names: Sequence[str]) -> list[str]:
@@ -30,14 +24,12 @@ def headers(names: Sequence[str]) -> list[str]:
 
 
 def unique(names: Sequence[str]) -> list[str]:
-    out: list[str] = []
-    for origin in names:
-        name, k = origin, 0
-        while name in out:
-            k += 1
-            name = f"{origin}_{k}"
-        out.append(name)
-    return out
+    """The names in order; a name that is taken gets the first number that makes it different."""
+    taken: dict[str, None] = {}
+    for base in names:
+        numbered = (f"{base}_{n}" for n in itertools.count(1))
+        taken[next(n for n in itertools.chain((base,), numbered) if n not in taken)] = None
+    return list(taken)
 
 
 def from_text(value: Column, kind: T.DataType, formatted: bool = False) -> Column:
