@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.catalog import Catalog, group_files
+from tidewheel.catalog import Catalog
 from tidewheel.engine import Engine
 from tidewheel.errors import EngineError, FailBuildQuery, MissingOutputFields, MissingTable, TableNotFound
 from tidewheel.functions.codecs import hash_bucket
@@ -56,16 +56,61 @@ def test_snapshots(spark, tmp_path):
     clock.now += 10
     c.retain("t", 5 * DAY)
     assert c.table("t").frame().count() == 9 and old.count() == 60  # readers of the old snapshot go on
+    days = lambda: sorted(p.name for p in (tmp_path / "t" / c.current("t")).glob("_date_=*"))
+    assert len(days()) == 30 and c.vacuum("t") == [] and days() == [f"_date_=1970-01-{d}" for d in range(26, 31)]
     clock.now += 10
     c.publish("t", df.limit(3))
     assert c.open("t").frame().count() == 3
-    assert len(c.vacuum("t", keep=1)) == 2 and c.open("t").frame().count() == 3
+    assert len(c.vacuum("t", keep=1)) == 1 and c.open("t").frame().count() == 3
+    assert [p.name for p in (tmp_path / "t").glob("manifest-*")] == ["manifest-000000000003"]
     with pytest.raises(Exception, match="outside the partition"):
         c.publish("bad", df, {"tag": ColumnProps(partition_values=("a", "b"))})
     with pytest.raises(TableNotFound):
         c.open("nothing")
 
 
+def test_retention_keeps_what_is_ahead(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), Clock(10 * DAY))
+    c.publish("t", spark.createDataFrame([(DAY, 1), (10 * DAY, 2), (510 * DAY, 3), (40_000 * DAY, 4), (8 * DAY + 5, 5), (8 * DAY - 5, 6)], "_time_ long, n int"))
+    c.retain("t", 2 * DAY)
+    assert sorted(r.n for r in c.table("t").frame().collect()) == [2, 3, 4, 5]
+    c.retain("t", 1000 * DAY)  # what was given up doesn't come back
+    c.vacuum("t")
+    assert sorted(r.n for r in Catalog(spark, str(tmp_path)).open("t").frame().collect()) == [2, 3, 4, 5]
+    with pytest.raises(TableNotFound):
+        c.retain("nothing", 5)
+
+
+def test_manifests_never_leave_a_gap(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), Clock(0))
+    first = c.publish("t", spark.range(1).selectExpr("0L _time_"))
+    (tmp_path / "t" / ".manifest-left-by-a-crash").write_text("{")
+    assert c.current("t") == first
+    second = c.publish("t", spark.range(2).selectExpr("0L _time_"))
+    assert c.current("t") == second and c.open("t").frame().count() == 2
+
+
+def test_chunks_are_pruned(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), Clock(0))
+    df = spark.createDataFrame([(0, "abcde"[i % 5], i) for i in range(50)], "_time_ long, tag string, n int")
+    props = {"tag": ColumnProps(partition_values=tuple("abcde"), partition_chunk=2)}
+    c.publish("t", df, props)
+    e = Engine(spark)
+    e.catalog = c
+    c.register("t", spark.read.parquet(f"{tmp_path}/t/{c.current('t')}"), columns=props)
+    from tidewheel.plans.expressions import in_
+
+    for condition, expected, pruned in ((col("tag") == "c", 10, True), (in_(col("tag"), ["a", "e"]) & (col("n") > 4), 18, True), (col("tag") == "z", 0, False), ((col("tag") == "a") | (col("n") > 40), 18, False)):
+        q = e.table("t").where(condition).select(col("n")).build()
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters: [_chunk_tag" in plan or "PartitionFilters: [isnotnull(_chunk_tag" in plan) == pruned and ("FileScan" in plan) == (expected != 0)
+        assert q.count() == expected
+    # a computed column of the same name doesn't choose chunks
+    from pyspark.sql import types as T
+
+    assert e.table("t").apply("tag", T.StringType(), "'c'").where(col("tag") == "c").select(col("n")).build().count() == 50
+
+
 CONFIG = """
 tables:
   web.hits:
@@ -74,7 +119,6 @@ tables:
     data: local
     loader: Roll
     source: ROOT/%7Bpart%7D/{date}/hits.csv
-    backup: s3://somewhere/
     format: csv
     csv: {hasHeader: true, delimiter: ","}
     time: {type: macro, pattern: daily}
@@ -132,11 +176,6 @@ def test_hash_bucket(spark):
     assert {r[0] for r in df.select(hash_bucket(F.col("v"), 10_000)).collect()} == {1211}
 
 
-def test_file_groups():
-    assert group_files([("a", 5), ("b", 5), ("c", 1), ("d", 20), ("e", 1)], 10) == [["a", "b"], ["c", "d"], ["e"]]
-    assert group_files([("a", 1), ("b", 1)], 0) == [["a"], ["b"]]
-
-
 def test_requests(spark):
     e = Engine(spark)
     e.catalog.register("t", spark.createDataFrame([(i, i % 3, "xyz"[i % 3], i / 2) for i in range(100)], "n long, k int, s string, f double"), TimeSpec("STATIC", value=50))
@@ -166,9 +205,21 @@ def test_state(spark):
     t = e.catalog.register("t", df)
     state = t.state().first()
     assert (state.rows, state.min_time, state.max_time, state.dimensions, state.metrics) == (2, 100, 300, ["s"], ["n", "b", "f", "_time_"])
+    assert state.bytes == state.blocks == 0 and {h.column for h in state.histograms} == {"n", "s", "b", "f", "l", "_time_"}
     assert {r.column: r.histogram for r in t.histograms().collect()}["b"] == '{"count":2,"trues":1}'
 
 
+def test_stats(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(1000).selectExpr("id n", "id % 3 k", "id _time_").repartition(4).write.parquet(path)
+    e = Engine(spark)
+    state = e.catalog.register("t", spark.read.parquet(path)).state().first()
+    assert state.blocks == 4 and state.bytes == sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet"))
+    answer = e.answer(QueryRequest("t", 0, 499, None, ["k"], [Metric("n", "COUNT")], order=Order("k", "ASC")))
+    assert answer.rows == ['{"k":"0","n.COUNT":"167"}', '{"k":"1","n.COUNT":"167"}', '{"k":"2","n.COUNT":"166"}']
+    assert answer.rows_scanned == 1000 and answer.blocks == 4 and answer.bytes > 0 and answer.ms > 0
+
+
 def test_time_ranges_reach_the_file(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.sql("select id n, timestamp_ntz'2020-01-01 00:00:00.5' + make_interval(0, 0, 0, id) ts from range(10)").write.parquet(path)
@@ -206,3 +257,68 @@ def test_append_stream(spark, tmp_path):
     assert stream.retain(5 * DAY) == 1
     assert sorted(r.n for r in stream.refresh().frame().collect()) == [3, 4]
     assert e.table("s").select(col("n")).build().count() == 2
+
+
+def test_a_stream_is_read_in_another_process(spark, tmp_path):
+    schema = "_time_ long, n int"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(DAY, 1)], schema).write.parquet(source)
+    AppendStream(Catalog(spark), "s", str(tmp_path / "table")).start(spark.readStream.schema(schema).parquet(source)).awaitTermination()
+    assert AppendStream(Catalog(spark), "s", str(tmp_path / "table")).refresh().frame().count() == 1
+
+
+def test_kafka_specs(spark):
+    asked = []
+
+    def reader(options):
+        asked.append(dict(options))
+        return spark.createDataFrame([(bytearray(b'{"id": "a", "k": 5}'), 70), (bytearray(b'{"id": "b"}'), 80)], "value binary, s long").select("value", F.timestamp_seconds("s").alias("timestamp"))
+
+    c = Catalog(spark, now=Clock(1000), kafka=reader)
+    config = {"schema": "ROW<id:string, n:int>", "data": "kafka", "loader": "Streaming", "source": "one:9092,two:9092", "format": "json", "kafka": {"topic": "orders", "topic-retention": 600, "size": 250}, "json": {"columnsMap": {"n": "k"}}}
+    from tidewheel.spec import table_spec
+
+    c.add_spec(table_spec("orders", config))
+    c.load("orders")
+    assert sorted(tuple(r) for r in c.table("orders").frame().collect()) == [("a", 5, 70), ("b", 0, 80)]
+    assert asked[-1]["subscribe"] == "orders" and asked[-1]["kafka.bootstrap.servers"] == "one:9092,two:9092" and asked[-1]["startingTimestamp"] == "400000" and asked[-1]["endingOffsets"] == "latest"
+    c.add_spec(table_spec("segment", {**config, "settings": {"k.partition": 3, "k.offset": 1_100}}))
+    c.load("segment")
+    assert asked[-1]["assign"] == '{"orders": [3]}' and asked[-1]["startingOffsets"] == '{"orders": {"3": 1000}}' and asked[-1]["endingOffsets"] == '{"orders": {"3": 1250}}'
+    from tidewheel.streaming import kafka_batches
+
+    kafka_batches(spark, "b", "t", spark.createDataFrame([], "id string").schema, {0: (5, 35), 1: (2, 9)}, size=10, reader=reader)
+    assert asked[-1]["startingOffsets"] == '{"t": {"0": 5, "1": 2}}' and asked[-1]["endingOffsets"] == '{"t": {"0": 30, "1": 2}}'
+
+
+def test_rolls_are_one_scan(spark, tmp_path):
+    from tidewheel.spec import table_spec
+
+    now = 1_717_250_645  # 2024-06-01 14:04:05
+    for day, hour in (("2024-06-01", "14"), ("2024-06-01", "13"), ("2024-05-31", "20"), ("2024-05-29", "20")):
+        spark.createDataFrame([(f"{day} {hour}",)], "at string").write.parquet(str(tmp_path / "x y" / day / f"h{hour}"))
+    c = Catalog(spark, now=Clock(now))
+    c.add_spec(table_spec("r", {"schema": "ROW<at:string>", "source": f"{tmp_path}/x y/{{date}}/h{{hour}}", "loader": "Roll", "format": "parquet", "time": {"type": "macro"}, "retention": {"max-hr": 24}}))
+    c.load("r")
+    df = c.table("r").frame()
+    hour = now - now % 3600
+    assert sorted(tuple(r) for r in df.collect()) == [("2024-05-31 20", hour - 18 * 3600), ("2024-06-01 13", hour - 3600), ("2024-06-01 14", hour)]
+    e = Engine(spark)
+    e.catalog = c
+    q = e.table("r").between_times(hour - 3600, hour).select(col("at")).build()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert q.count() == 2 and plan.count("FileScan") == 1
+
+
+def test_stored_times_reach_the_file(spark, tmp_path):
+    from tidewheel.spec import table_spec
+
+    spark.range(100).selectExpr("id n", "id * 1000 + 7 ms").write.parquet(str(tmp_path / "p"))
+    c = Catalog(spark)
+    c.add_spec(table_spec("t", {"schema": "ROW<n:bigint, ms:bigint>", "source": str(tmp_path / "p"), "format": "parquet", "time": {"type": "column", "column": "ms", "pattern": "UNIXTIME_MS"}}))
+    assert c.load("t").columns() == ["n", "_time_"]
+    e = Engine(spark)
+    e.catalog = c
+    q = e.table("t").between_times(10, 12).select(col("n")).build()
+    assert sorted(r.n for r in q.collect()) == [10, 11, 12] and "GreaterThanOrEqual(ms,10000)" in q._jdf.queryExecution().toString()
+    assert e.table("t").select(col("*")).build().columns == ["n", "_time_"]

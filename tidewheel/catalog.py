@@ -5,27 +5,31 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
 import threading
 import time as clock
-from collections.abc import Callable, Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import macros
 from .errors import TableNotFound
-from .functions.timefns import time_column
+from .functions.timefns import SCALES, time_column
 from .operators.access import Rule
 from .plans.expressions import sql_of
-from .schema import TIME, is_metric, is_numeric, parse_schema
+from .schema import TIME, is_integer, is_metric, is_numeric, parse_schema
 from .sources import files, remote
 from .spec import ColumnProps, TableSpec, TimeSpec, read_config, table_spec
 
 #: Layout columns of stored snapshots.
 DATE = "_date_"
 CHUNK = "_chunk_"
+#: The stored column that a table's time is computed from, kept beside it where time ranges can bound it.
+STORED = "_stored_time_"
 
 
 @dataclass
@@ -41,33 +45,46 @@ class Table:
 
     def frame(self) -> DataFrame:
         """The rows, without layout columns."""
-        hidden = [c for c in self.source.columns if c == DATE or c.startswith(CHUNK)]
-        return self.source.drop(*hidden) if hidden else self.source
+        return self.rows()
 
     def columns(self) -> list[str]:
         return self.frame().columns
 
-    def within(self, df: DataFrame, start: int, end: int) -> DataFrame:
-        """Rows of an inclusive range of seconds. The date of the layout is bounded, too, so other days' files aren't opened; and the
-        timestamp that the time comes from, so that row groups are skipped by its statistics."""
-        if DATE not in self.source.columns:
-            rows = df.where(F.col(TIME).between(start, end))
-            if self.time_from is None:
-                return rows
+    def rows(self, span: tuple[int, int] | None = None, equals: Mapping[str, Sequence] | None = None) -> DataFrame:
+        """The rows of an inclusive range of seconds, as few files as the layout allows. ``equals``: values that columns are known to be
+        limited to; those of declared partitions choose the chunks to read, and rows of other values may be left in."""
+        df = self.source
+        for name, values in (equals or {}).items():
+            props = self.column_props.get(name)
+            if props and props.partition_values and CHUNK + name in df.columns:
+                chunks = {props.partition_values.index(str(v)) // props.partition_chunk for v in values if str(v) in props.partition_values}
+                df = df.where(F.col(CHUNK + name).isin(sorted(chunks)) if chunks else F.lit(False))
+        if span is not None:
+            df = self._within(df, *span)
+        hidden = [c for c in df.columns if c in (DATE, STORED) or c.startswith(CHUNK)]
+        return df.drop(*hidden) if hidden else df
+
+    def _within(self, df: DataFrame, start: int, end: int) -> DataFrame:
+        """The date of the layout is bounded, too, so other days' files aren't opened; or the column that the time comes from, so that row
+        groups are skipped by its statistics."""
+        rows = df.where(F.col(TIME).between(start, end))
+        if DATE in df.columns:
+            day = lambda s: F.date_from_unix_date(F.lit(s // 86400))
+            rows = rows.where(F.col(DATE).between(day(start), day(end)))
+        if STORED in df.columns and start > 1:  # nulls have the time 1, and what can't be read 0
+            scale = SCALES[self.spec.time.pattern.upper()]
+            rows = rows.where(F.col(STORED).between(start * scale, (end + 1) * scale - 1))
+        if self.time_from is not None:
             kind = "timestamp_ntz" if isinstance(df.schema[self.time_from].dataType, T.TimestampNTZType) else "timestamp"
             edge = lambda s: F.timestamp_seconds(F.lit(s)) if kind == "timestamp" else F.expr(f"timestamp_ntz'{dt.datetime.fromtimestamp(s, dt.timezone.utc):%Y-%m-%d %H:%M:%S}'")
-            return rows.where((F.col(self.time_from) >= edge(start)) & (F.col(self.time_from) < edge(end + 1)))
-        day = lambda s: F.date_from_unix_date(F.lit(s // 86400))
-        rows = self.source.where(F.col(DATE).between(day(start), day(end)) & F.col(TIME).between(start, end))
-        return Table(self.name, rows).frame()
+            rows = df.where((F.col(self.time_from) >= edge(start)) & (F.col(self.time_from) < edge(end + 1)))
+        return rows
 
     def column_rules(self, name: str) -> Sequence[Rule]:
         """The rules of a column, whose name is the same in any case, as it is to SQL."""
         return tuple(r for n, p in self.column_props.items() if n.lower() == name.lower() for r in p.rules)
 
-    def histograms(self) -> DataFrame:
-        """Per column its histogram as JSON: counts; of booleans the true ones; of numbers least, largest, sum. One pass."""
-        df = self.frame()
+    def _histograms(self, df: DataFrame) -> list[tuple[str, Column]]:
         parts = []
         for f in df.schema:
             x, total = F.col(f"`{f.name}`"), F.count(F.lit(1)).alias("count")
@@ -78,33 +95,47 @@ class Table:
                 stats = F.struct(total, F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x.cast(wide)).alias("sum"))
             else:
                 stats = F.struct(total)
-            parts.append(F.struct(F.lit(f.name).alias("column"), F.to_json(stats).alias("histogram")))
-        return df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("h")).select("h.column", "h.histogram")
+            parts.append((f.name, F.to_json(stats)))
+        return parts
+
+    def histograms(self) -> DataFrame:
+        """Per column its histogram as JSON: counts; of booleans the true ones; of numbers least, largest, sum. One pass."""
+        df = self.frame()
+        pairs = [F.struct(F.lit(n).alias("column"), h.alias("histogram")) for n, h in self._histograms(df)]
+        return df.agg(F.array(*pairs).alias("all")).select(F.explode("all").alias("h")).select("h.column", "h.histogram")
 
     def state(self) -> DataFrame:
-        """One row: partitions, rows, first and last time, dimensions, metrics."""
+        """One row: files (blocks; 0 where there are none) and their bytes, rows, first and last time, dimensions, metrics, and each column's histogram. One pass; files
+        and bytes come from the listing that the plan already has."""
         df = self.frame()
         dims = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         metrics = [f.name for f in df.schema if is_metric(f.dataType)]
         words = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
         time = F.col(TIME) if TIME in df.columns else F.lit(0)
-        return df.select(time.alias(TIME), F.spark_partition_id().alias("__part")).agg(
-            F.count_distinct("__part").alias("blocks"), F.count(F.lit(1)).alias("rows"), F.min(TIME).cast("long").alias("min_time"), F.max(TIME).cast("long").alias("max_time")
-        ).select(F.lit(self.name).alias("table"), "*", words(dims).alias("dimensions"), words(metrics).alias("metrics"))
+        leaves, files = self.source._jdf.queryExecution().analyzed().collectLeaves(), len(self.source.inputFiles())
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) if files else 0
+        pairs = [F.struct(F.lit(n).alias("column"), h.alias("histogram")) for n, h in self._histograms(df)]
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.min(time).cast("long").alias("min_time"), F.max(time).cast("long").alias("max_time"), F.array(*pairs).alias("histograms")).select(
+            F.lit(self.name).alias("table"), F.lit(files).cast("long").alias("blocks"), F.lit(size).cast("long").alias("bytes"), "rows", "min_time", "max_time", words(dims).alias("dimensions"), words(metrics).alias("metrics"), "histograms"
+        )
 
 
-def with_time(df: DataFrame, spec: TimeSpec, watermark: int = 0, now: int | None = None) -> DataFrame:
-    """``_time_`` by a time spec. A source time column leaves the schema."""
+def with_time(df: DataFrame, spec: TimeSpec, watermark: int | Column = 0, now: int | None = None, keep: bool = False) -> DataFrame:
+    """``_time_`` by a time spec. A source time column leaves the schema; with ``keep`` a stored unix time stays as the hidden column STORED."""
     if spec.type == "STATIC":
         return df.withColumn(TIME, F.lit(spec.value).cast("long"))
     if spec.type == "CURRENT":
         return df.withColumn(TIME, F.lit(int(clock.time()) if now is None else now).cast("long"))
     if spec.type == "MACRO":
-        return df.withColumn(TIME, F.lit(watermark).cast("long"))
+        return df.withColumn(TIME, (watermark if isinstance(watermark, Column) else F.lit(watermark)).cast("long"))
     if spec.type == "PROVIDED":
         return df.withColumn(TIME, F.coalesce(F.col(TIME).cast("long"), F.lit(1).cast("long")))
     timed = df.withColumn(TIME, time_column(F.col(f"`{spec.column}`"), spec.pattern))
-    return timed if spec.column == TIME else timed.drop(spec.column)
+    if spec.column == TIME:
+        return timed
+    if keep and spec.pattern.upper() in SCALES and is_integer(df.schema[spec.column].dataType):
+        return timed.withColumnRenamed(spec.column, STORED)
+    return timed.drop(spec.column)
 
 
 def with_defaults(df: DataFrame, columns: Mapping[str, ColumnProps]) -> DataFrame:
@@ -132,8 +163,9 @@ def with_chunks(df: DataFrame, columns: Mapping[str, ColumnProps]) -> tuple[Data
 class Catalog:
     """The engine's tables, in one session. ``root`` is where snapshots are kept, on any file system."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, now: Callable[[], float] = clock.time):
-        self.spark, self.root, self.now = spark, root.rstrip("/") if root else None, now
+    def __init__(self, spark: SparkSession, root: str | None = None, now: Callable[[], float] = clock.time, kafka: Callable[[Mapping[str, str]], DataFrame] | None = None):
+        """``kafka`` reads messages by the options of Spark's own batch source, which it replaces in tests."""
+        self.spark, self.root, self.now, self.kafka = spark, root.rstrip("/") if root else None, now, kafka
         self._tables: dict[str, Table] = {}
         self._expiry: dict[str, tuple[float, float]] = {}  # seconds to live, and last use
         self._specs: dict[str, TableSpec] = {}
@@ -231,7 +263,7 @@ class Catalog:
     def read(self, spec: TableSpec, now: int | None = None, values: Mapping[str, Sequence[str]] | None = None, fetch: remote.Fetch | None = None) -> DataFrame:
         """The rows of a spec's location, with ``_time_``, macro columns and defaults.
 
-        Paths with the same macro values and watermark are read together, as one scan.
+        Paths with the same macro values are read together, as one scan; watermarks are read from the files' paths, so a time range prunes files.
         """
         schema = parse_schema(spec.schema)
         from_macro = {c: p.from_macro for c, p in spec.columns.items() if p.from_macro}
@@ -244,28 +276,66 @@ class Catalog:
             from .sources.synthetic import synthetic
 
             return synthetic(self.spark, rows=int(spec.settings.get("rows", "10000")))
-        groups: dict[tuple, list[str]] = {}
+        now = int(self.now()) if now is None else now
+        if spec.source == "KAFKA":
+            return with_defaults(self._messages(spec, schema, now), spec.columns)
+        remote_source = spec.source in ("HTTP", "GSHEET", "ROCKSET")
+        groups: dict[tuple, list[tuple[str, int]]] = {}
         for path, chosen, mark in self.paths(spec, now, values):
-            key = (tuple(sorted(chosen.items())), mark if spec.time.type == "MACRO" else 0)
-            if spec.source not in ("HTTP", "GSHEET", "ROCKSET") and not self._exists(path):
+            groups.setdefault(tuple(sorted(chosen.items())), []).append((path, mark))
+        parts = []
+        for chosen, found in groups.items():
+            if not remote_source:
+                there = self._existing(spec, dict(chosen), [p for p, _ in found])
+                found = [(p, m) for p, m in found if p in there]
+            if not found:
                 continue
-            groups.setdefault(key, []).append(path)
-        if not groups:
+            marks = {m for _, m in found}
+            if spec.time.type == "MACRO" and len(marks) > 1 and remote_source:
+                scans = [([p], m) for p, m in found]
+            else:
+                scans = [([p for p, _ in found], next(iter(marks)))]
+            for paths, mark in scans:
+                df = self._scan(spec, paths, stored, fetch)
+                if spec.time.type == "MACRO" and len(marks) > 1 and not remote_source:
+                    mark = macros.time_of_path(spec.location, F.col("_metadata.file_path"))
+                df = with_time(df, spec.time, mark, now, keep=spec.format in ("PARQUET", "NONE") and not remote_source)
+                given = {k.lower(): x for k, x in chosen}
+                for column, macro in from_macro.items():
+                    df = df.withColumn(column, F.lit(given.get(macro.lower(), "")).cast(schema[column].dataType))
+                for column, expr in computed.items():
+                    df = df.withColumn(column, F.expr(sql_of(expr)).try_cast(schema[column].dataType))
+                parts.append(df)
+        if not parts:
             raise FileNotFoundError(f"nothing to load for {spec.name!r} at {spec.location!r}")
-        parts = []
-        for (chosen, mark), paths in groups.items():
-            df = with_time(self._scan(spec, paths, stored, fetch), spec.time, mark, int(self.now()))
-            given = {k.lower(): x for k, x in chosen}
-            for column, macro in from_macro.items():
-                df = df.withColumn(column, F.lit(given.get(macro.lower(), "")).cast(schema[column].dataType))
-            for column, expr in computed.items():
-                df = df.withColumn(column, F.expr(sql_of(expr)).try_cast(schema[column].dataType))
-            parts.append(df)
         out = parts[0]
         for df in parts[1:]:
             out = out.unionByName(df)
         return with_defaults(out, spec.columns)
 
+    def _existing(self, spec: TableSpec, chosen: Mapping[str, str], paths: list[str]) -> set[str]:
+        """Those of ``paths`` that are there. Many are found by one listing of the location with its time macros as wildcards."""
+        if len(paths) == 1:
+            return set(paths) if self._exists(paths[0]) else set()
+        pattern = next(p for p, c in macros.expand(spec.location, {k: [x] for k, x in chosen.items()}))
+        fs, p = self._fs(macros.wildcards(pattern))
+        found = {str(s.getPath().toUri().getPath()) for s in fs.globStatus(p) or []}
+        return {x for x in paths if self._fs(x)[1].toUri().getPath() in found}
+
+    def _messages(self, spec: TableSpec, schema: T.StructType, now: int) -> DataFrame:
+        """A topic's messages: of one segment, where the settings name a partition and an offset in it, or else all of the retention."""
+        from .streaming import append
+
+        map_ = spec.thrift.columns_map if spec.format == "THRIFT" else spec.json.columns_map
+        serde = "THRIFT" if spec.format == "THRIFT" else "JSON"
+        size = int(spec.settings.get("batch", 0)) or spec.kafka.size or append.SEGMENT
+        more = {"serde": serde, "columns_map": map_, "reader": self.kafka}
+        if "k.partition" in spec.settings and "k.offset" in spec.settings:
+            first = int(spec.settings["k.offset"]) // size * size
+            return append.kafka_batches(self.spark, spec.location, spec.kafka.topic, schema, {int(spec.settings["k.partition"]): (first, first + size)}, size=size, **more)
+        kept = spec.kafka.retention or spec.max_seconds
+        return append.kafka_messages(self.spark, spec.location, spec.kafka.topic, schema, int((now - kept) * 1000) if kept else None, **more)
+
     def _scan(self, spec: TableSpec, paths: list[str], schema: T.StructType, fetch: remote.Fetch | None) -> DataFrame:
         get = {"fetch": fetch} if fetch else {}
         headers = remote.header_map(spec.headers, spec.settings.get("token", ""))
@@ -334,23 +404,35 @@ class Catalog:
         found = fs.globStatus(p)
         return found is not None and len(found) > 0
 
-    def _write(self, path: str, text: str) -> None:
-        """A small file, complete or not at all: written aside and renamed."""
-        fs, p = self._fs(path)
-        side = self._fs(f"{path}.{hashlib.md5(str(clock.time_ns()).encode()).hexdigest()[:8]}")[1]
-        out = fs.create(side, True)
-        out.write(text.encode())
-        out.close()
-        fs.delete(p, False)
-        if not fs.rename(side, p):
-            raise OSError(f"can't publish {path}")
-
-    def _read(self, path: str) -> str | None:
-        fs, p = self._fs(path)
+    def _manifests(self, name: str) -> list[str]:
+        """A table's manifests, the newest last."""
+        fs, p = self._fs(f"{self._root()}/{name}")
         if not fs.exists(p):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if re.fullmatch(r"manifest-\d{12}", s.getPath().getName()))
+
+    def _announce(self, name: str, manifest: Mapping) -> None:
+        """Make a snapshot the current one: write the next manifest aside and rename it to its number. The former ones stay, so a reader
+        finds one at any time, and a crash leaves the last."""
+        base, text = f"{self._root()}/{name}", json.dumps(manifest)
+        while True:
+            number = int((self._manifests(name) or ["manifest-0"])[-1].split("-")[1]) + 1
+            fs, target = self._fs(f"{base}/manifest-{number:012d}")
+            side = self._fs(f"{base}/.manifest-{uuid.uuid4().hex}")[1]
+            out = fs.create(side, False)
+            out.write(text.encode())
+            out.close()
+            if not fs.exists(target) and fs.rename(side, target):
+                return
+            fs.delete(side, False)  # another writer took the number
+
+    def manifest(self, name: str) -> dict | None:
+        """What the newest manifest says: ``version``, and ``oldest``, the first second that is kept."""
+        found = self._manifests(name)
+        if not found:
             return None
-        row = self.spark.read.text(path, wholetext=True).first()
-        return row[0].strip() if row else None
+        row = self.spark.read.text(f"{self._root()}/{name}/{found[-1]}", wholetext=True).first()
+        return json.loads(row[0])
 
     def publish(self, name: str, df: DataFrame, columns: Mapping[str, ColumnProps] | None = None) -> str:
         """Write a snapshot, laid out by date and declared partitions, and make it the current one; its version.
@@ -359,7 +441,7 @@ class Catalog:
         """
         base = f"{self._root()}/{name}"
         version = f"{int(self.now())}_{clock.time_ns() % 10**9:09d}"
-        laid, chunks = with_chunks(df, columns or {})
+        laid, chunks = with_chunks(df.drop(STORED), columns or {})
         laid = laid.withColumn(DATE, F.date_from_unix_date(F.floor(F.col(TIME) / 86400).cast("int")))
         # rows of a day go together, and large days are split by size
         writer = laid.hint("rebalance", DATE, *chunks).write
@@ -369,7 +451,7 @@ class Catalog:
             if p.dict:
                 writer = writer.option(f"parquet.enable.dictionary#{c}", "true")
         writer.partitionBy(DATE, *chunks).parquet(f"{base}/{version}")
-        self._write(f"{base}/current", version)
+        self._announce(name, {"version": version})
         return version
 
     def _root(self) -> str:
@@ -378,48 +460,55 @@ class Catalog:
         return self.root
 
     def current(self, name: str) -> str | None:
-        return self._read(f"{self._root()}/{name}/current")
+        found = self.manifest(name)
+        return found["version"] if found else None
 
     def open(self, name: str, ttl: float = 0) -> Table:
         """Register a table's current snapshot."""
-        version = self.current(name)
-        if version is None:
+        found = self.manifest(name)
+        if found is None:
             raise TableNotFound(name)
         spec = self._specs.get(name)
-        df = self.spark.read.parquet(f"{self._root()}/{name}/{version}")
-        return self.register(name, df, None, spec.columns if spec else None, spec.rules if spec else (), ttl, spec)
+        df = self.spark.read.parquet(f"{self._root()}/{name}/{found['version']}")
+        if (oldest := found.get("oldest")) is not None:
+            df = df.where((F.col(TIME) >= oldest) & (F.col(DATE) >= F.date_from_unix_date(F.lit(oldest // 86400))))
+        known = self._tables.get(name)
+        return self.register(name, df, None, spec.columns if spec else known.column_props if known else None, spec.rules if spec else known.rules if known else (), ttl, spec)
 
     def retain(self, name: str, max_seconds: float) -> str:
-        """A new snapshot without rows older than ``max_seconds``; its version."""
-        table = self.table(name)
-        oldest = int(self.now() - max_seconds)
-        kept = table.within(table.frame(), oldest, (1 << 40) if DATE not in table.source.columns else int(self.now()) + 400 * 86400)
-        version = self.publish(name, kept, table.column_props)
+        """Give up rows older than ``max_seconds``: a manifest says so, and ``vacuum`` removes the days that ended before. No row is
+        rewritten, and later ones stay whatever their time. Returns the version, which stays the same."""
+        found = self.manifest(name)
+        if found is None:
+            raise TableNotFound(name)
+        oldest = max(int(self.now() - max_seconds), found.get("oldest", -(1 << 62)))
+        self._announce(name, {**found, "oldest": oldest})
         self.open(name)
-        return version
+        return found["version"]
 
     def vacuum(self, name: str, keep: int = 2) -> list[str]:
-        """Remove all but the newest ``keep`` snapshots and the current one; what went."""
-        base = f"{self._root()}/{name}"
+        """Remove all but the newest ``keep`` snapshots and the current one, all but the newest manifest, and the current snapshot's days
+        that ended before what is kept; which snapshots went."""
+        base, now = f"{self._root()}/{name}", self.manifest(name) or {}
         fs, p = self._fs(base)
         found = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
-        gone = [v for v in found[:-keep] if v != self.current(name)]
+        gone = [v for v in found[: max(0, len(found) - keep)] if v != now.get("version")]
         for v in gone:
             fs.delete(self._fs(f"{base}/{v}")[1], True)
+        for m in self._manifests(name)[:-1]:
+            fs.delete(self._fs(f"{base}/{m}")[1], False)
+        if "oldest" in now:
+            drop_days(self, f"{base}/{now['version']}", now["oldest"])
         return gone
 
 
-def group_files(sizes: Iterable[tuple[str, int]], target: int) -> list[list[str]]:
-    """Files packed in order until a group reaches ``target`` bytes; 0 gives a group each."""
-    out: list[list[str]] = []
-    total = 0
-    for path, size in sizes:
-        if out and total < target:
-            out[-1].append(path)
-            total += size
-        else:
-            out.append([path])
-            total = size
-    return out
-
-
+def drop_days(catalog: Catalog, pattern: str, oldest: int) -> int:
+    """Remove the days under a path (which may have wildcards) that ended before a second; how many directories went."""
+    fs, p = catalog._fs(f"{pattern}/{DATE}=*")
+    gone = 0
+    for status in fs.globStatus(p) or []:
+        day = dt.date.fromisoformat(status.getPath().getName().split("=")[1])
+        if (day - dt.date(1970, 1, 1)).days < oldest // 86400:
+            fs.delete(status.getPath(), True)
+            gone += 1
+    return gone

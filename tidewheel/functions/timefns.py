@@ -113,6 +113,8 @@ def wall_seconds(time: Column) -> Column:
     return since.cast("interval second").cast("long")
 
 
+#: Patterns of unix times, and their steps in a second.
+SCALES = {"UNIXTIME": 1, "UNIXTIME_MS": 1000, "UNIXTIME_NANO": 1_000_000_000}
 #: Days from a spreadsheet's serial number 0 to the epoch.
 SERIAL_EPOCH = 25569
 
@@ -122,9 +124,8 @@ def time_column(column: Column, pattern: str) -> Column:
 
     A null time is 1; one that can't be read is 0.
     """
-    scales = {"UNIXTIME": 1, "UNIXTIME_MS": 1000, "UNIXTIME_NANO": 1_000_000_000}
-    if pattern.upper() in scales:
-        value = F.call_function("div", column.try_cast("long"), F.lit(scales[pattern.upper()]).cast("long"))
+    if pattern.upper() in SCALES:
+        value = F.call_function("div", column.try_cast("long"), F.lit(SCALES[pattern.upper()]).cast("long"))
     elif pattern.upper() == "SERIAL_NUMBER":
         value = F.round((column.try_cast("double") - SERIAL_EPOCH) * 86400).cast("long")
     elif pattern.lower() == "iso8601":

@@ -7,6 +7,9 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: From coarse to fine; each needs all before it.
 PARTS = ("date", "hour", "minute", "second")
 GRANULARITY = ("DAILY", "HOURLY", "MINUTELY", "SECONDLY")
@@ -64,6 +67,30 @@ def roll(path: str, now: int, max_seconds: float) -> Iterator[tuple[str, int]]:
         at -= STEP[kind]
 
 
+def wildcards(path: str) -> str:
+    """The path with its time macros as wildcards."""
+    return re.sub(r"\{(date|hour|minute|second)\}", "*", decoded(path), flags=re.I)
+
+
+def time_of_path(template: str, file: Column) -> Column:
+    """The watermark in a file's path: what stands where the template has its time macros. Custom macros may be any text."""
+    template = decoded(template)
+    shapes = {"date": r"(\d{4}-\d\d-\d\d)"} | dict.fromkeys(PARTS[1:], r"(\d\d)")
+    first = re.search(r"\{(?:date|hour|minute|second)\}", template, re.I).start()
+    tail = template[template.rfind("/", 0, first) + 1 :]  # what is before may be written another way
+    pattern, order = "/", []
+    for part in re.split(r"(\{[^{}]*\})", tail):
+        name = part[1:-1].lower()
+        if part.startswith("{") and name in shapes:
+            pattern += shapes[name]
+            order.append(name)
+        else:
+            pattern += "[^/]*" if part.startswith("{") else ".*".join("\\Q" + x + "\\E" if x else "" for x in part.split("*"))
+    get = lambda n: F.regexp_extract(F.url_decode(file), pattern, order.index(n) + 1) if n in order else F.lit("00")
+    day = F.unix_date(F.try_to_date(get("date"))).cast("long") * 86400
+    return day + get("hour").cast("int") * 3600 + get("minute").cast("int") * 60 + get("second").cast("int")
+
+
 def expand(path: str, macros: Mapping[str, Sequence[str]]) -> Iterator[tuple[str, dict[str, str]]]:
     """Each combination of the custom macros that the path uses, and the path with them."""
     path = decoded(path)

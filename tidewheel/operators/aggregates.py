@@ -113,40 +113,45 @@ def hist(x: Column, kind: T.DataType, low: float, high: float) -> tuple[Column,
 
 @F.pandas_udf(T.StringType())
 def _assemble(nodes: pd.Series) -> pd.Series:
-    """Paths with counts, each path a list of names from the root, as nested JSON; children in order of their names."""
+    """Paths with counts, each a list of names from the first frame on, which all of them share, as nested JSON; children in order of
+    their names."""
 
     def one(paths) -> str:
-        counts = {tuple(p["path"]): int(p["n"]) for p in paths}
-        if () not in counts:
-            return ""
-        children: dict[tuple, list] = {}
-        for p in sorted(counts):
-            if p:
-                children.setdefault(p[:-1], []).append(p)
-        done: dict[tuple, dict] = {}
-        for p in sorted(counts, key=len, reverse=True):
-            node = {"name": p[-1] if p else "", "value": counts[p]}
-            below = [done[c] for c in children.get(p, []) if c in done]
-            if below:
-                node["children"] = below
-            done[p] = node
-        return json.dumps(done[()], separators=(",", ":"), ensure_ascii=False)
+        made: dict[tuple, dict] = {}
+        for path, n in sorted((tuple(p["path"]), int(p["n"])) for p in paths):  # a node comes before what is below it
+            made[path] = {"name": path[-1], "value": n}
+            if len(path) > 1:
+                made[path[:-1]].setdefault("children", []).append(made[path])
+        return json.dumps(next(iter(made.values())), separators=(",", ":"), ensure_ascii=False)
 
     return nodes.map(one)
 
 
 def tree_counts(df: DataFrame, keys: list[str], stack: str) -> DataFrame:
-    """Per key and path prefix the number of rows; paths are newline-separated, root first; the empty prefix counts every row."""
-    frames = F.when(F.coalesce(F.col(stack), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(stack), "\n", -1))
+    """Per key and path prefix the number of rows; paths are newline-separated, root first; the empty prefix counts every row.
+
+    Equal stacks are counted first, so only the different ones are taken apart.
+    """
+    names = [F.col(f"`{k}`") for k in keys]
+    stacks = df.groupBy(*names, F.coalesce(F.col(stack), F.lit("")).alias("__stack")).agg(F.count(F.lit(1)).alias("__n"))
+    frames = F.when(F.col("__stack") == "", F.array().cast("array<string>")).otherwise(F.split("__stack", "\n", -1))
     prefixes = F.transform(F.sequence(F.lit(0), F.size(frames)), lambda i: F.slice(frames, F.lit(1), i))
-    return df.select(*keys, F.explode(prefixes).alias("path")).groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("n"))
+    return stacks.select(*names, "__n", F.explode(prefixes).alias("path")).groupBy(*names, "path").agg(F.sum("__n").alias("n"))
 
 
 def tree_merge(df: DataFrame, keys: list[str], stack: str, name: str, threshold: int = TREE_THRESHOLD) -> DataFrame:
     """Per key the merged tree as JSON: ``{"name", "value", "children"}``. Nodes under the threshold go with what is below them; a root
     under it leaves an empty text.
 
-    Counting is a plain aggregation; only the different prefixes that reach the threshold are put together.
+    Counting is a plain aggregation; what reaches the threshold is put together by first frame, each in its own row, and the parts are
+    joined as texts.
     """
-    counts = tree_counts(df, keys, stack).groupBy(*keys).agg(F.collect_list(F.when(F.col("n") >= threshold, F.struct("path", "n"))).alias("nodes"))
-    return counts.select(*keys, _assemble("nodes").alias(name))
+    names = [F.col(f"`{k}`") for k in keys]
+    counts = tree_counts(df, keys, stack)
+    many = counts.where((F.col("n") >= threshold) | (F.size("path") == 0)).withColumn("__first", F.get("path", F.lit(0)))
+    parts = many.groupBy(*names, "__first").agg(F.collect_list(F.struct("path", "n")).alias("nodes"), F.max("n").alias("n"))
+    texts = parts.select(*names, "__first", F.when(F.col("__first").isNull(), F.lit("")).otherwise(_assemble(F.when(F.col("__first").isNotNull(), F.col("nodes")).otherwise(F.array(F.struct(F.array(F.lit("")).alias("path"), F.lit(0).cast("long").alias("n")))))).alias("json"), "n")
+    whole = texts.groupBy(*names).agg(F.max(F.when(F.col("__first").isNull(), F.col("n"))).alias("root"), F.array_sort(F.collect_list(F.when(F.col("__first").isNotNull(), F.struct("__first", "json")))).alias("below"))
+    below = F.array_join(F.transform("below", lambda x: x["json"]), ",")
+    tree = F.concat(F.lit('{"name":"","value":'), F.col("root").cast("string"), F.when(F.size("below") > 0, F.concat(F.lit(',"children":['), below, F.lit("]"))).otherwise(F.lit("")), F.lit("}"))
+    return whole.select(*names, F.when(F.coalesce(F.col("root"), F.lit(0)) >= threshold, tree).otherwise(F.lit("")).alias(name))

@@ -20,7 +20,7 @@ from ..operators import aggregates
 from ..operators.access import Access, Action, QueryContext, check, masked
 from ..schema import zero
 from ..sources.convert import unique
-from .expressions import Expr, In, Logical, Not, Scope, Script, Star, TreeMerge, lift
+from .expressions import Col, Compare, Expr, In, Literal, Logical, Not, Scope, Script, Star, TreeMerge, lift
 from .scripts import columns_of
 
 if TYPE_CHECKING:
@@ -111,16 +111,15 @@ def _build(query: Query, context: QueryContext) -> DataFrame:
         raise MissingOutputFields()
     if check(Access.READ, context.groups, table.rules) != Action.PASS:
         raise PermissionRequired(f"table {table.name}")
-    df = table.frame()
-    if query.range:
-        df = table.within(df, *query.range)
+    made = {s.name.lower() for s in query.scripts}  # these may replace a column
+    df = table.rows(query.range, {n: x for n, x in _equals(query.filter).items() if n.lower() not in made})
     guard = _Guard(query, context)
     for s in query.scripts:
         df = guard.add(df, s)
     names = set(df.columns)
     fields: list[Expr] = []
     for f in query.fields:
-        fields += [_column(c) for c in table.columns()] if isinstance(f, Star) else [f]
+        fields += [Col(c) for c in table.columns()] if isinstance(f, Star) else [f]
 
     # access: columns that only select may be masked; everything else that touches them is refused
     visible: list[tuple[Expr, bool]] = []
@@ -165,10 +164,18 @@ def _build(query: Query, context: QueryContext) -> DataFrame:
     return out.limit(query.top) if query.top else out
 
 
-def _column(name: str) -> Expr:
-    from .expressions import Col
-
-    return Col(name)
+def _equals(condition: Expr | None) -> dict[str, list]:
+    """Columns that a filter limits to some values, by its conjuncts."""
+    if isinstance(condition, Logical) and condition.op == "and":
+        left, right = _equals(condition.left), _equals(condition.right)
+        return {**left, **right}
+    if isinstance(condition, In) and not condition.negated and isinstance(condition.inner, Col):
+        return {condition.inner.source: condition.values}
+    if isinstance(condition, Compare) and condition.op == "==":
+        for a, b in ((condition.left, condition.right), (condition.right, condition.left)):
+            if isinstance(a, Col) and isinstance(b, Literal):
+                return {a.source: [b.value]}
+    return {}
 
 
 def _filtered(df: DataFrame, condition: Expr, scope: Scope) -> DataFrame:

@@ -222,9 +222,11 @@ def run(request: QueryRequest, catalog: Catalog, context: QueryContext | None =
     return to_query(request, catalog).build(context)
 
 
-def to_json(df):
-    """Rows as JSON texts; BIGINT and INT128 as strings, as clients without 64-bit numbers need them."""
-    wide = [f.name for f in df.schema if isinstance(f.dataType, T.LongType | T.DecimalType)]
-    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in wide}).toJSON()
+def texts(df) -> list:
+    """The columns as clients get them: BIGINT and INT128 as strings, which those without 64-bit numbers need."""
+    return [F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.LongType | T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema]
 
 
+def to_json(df):
+    """Rows as JSON texts."""
+    return df.select(*texts(df)).toJSON()

@@ -61,7 +61,6 @@ class TimeSpec:
 class ColumnProps:
     bloom_filter: bool = False
     dict: bool = False
-    compress: bool = False
     default_value: str | None = None
     from_macro: str = ""
     expr: str = ""  # computed when the table is loaded
@@ -86,7 +85,6 @@ class TableSpec:
     format: str = "PARQUET"
     max_mb: int = 0
     max_seconds: float = 0
-    backup: str = ""
     time: TimeSpec = field(default_factory=TimeSpec)
     csv: CsvProps = field(default_factory=CsvProps)
     json: JsonProps = field(default_factory=JsonProps)
@@ -99,7 +97,6 @@ class TableSpec:
     settings: Mapping[str, str] = field(default_factory=dict)
     macros: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     headers: tuple[str, ...] = ()
-    optimal_block_size: int = 0
 
 
 def snap_minutes(minutes: int) -> int:
@@ -131,7 +128,7 @@ def read_columns(node: Mapping | None) -> dict[str, ColumnProps]:
         if part is not None and "values" not in part:
             raise ValueError(f"the partition of {name!r} has no values")
         out[str(name)] = ColumnProps(
-            bool(c.get("bloom_filter", False)), bool(c.get("dict", False)), bool(c.get("compress", False)),
+            bool(c.get("bloom_filter", False)), bool(c.get("dict", False)),
             None if c.get("default_value") is None else str(c["default_value"]), str(c.get("from_macro", "")), str(c.get("expr", "")), read_rules(c.get("access")),
             tuple(map(str, part["values"])) if part else (), int(part.get("chunk", 1)) if part else 1,
         )
@@ -153,12 +150,11 @@ def table_spec(name: str, node: Mapping) -> TableSpec:
         name=name,
         schema=str(node["schema"]),
         source=source,
-        loader=str(node.get("loader", "Swap")),
+        loader=_one_of(node.get("loader", "Swap"), LOADERS, "loader"),
         location=str(node.get("source", "")),
         format=_one_of(node.get("format", "none"), FORMATS, "format"),
         max_mb=int(retention.get("max-mb", 0)),
         max_seconds=float(retention.get("max-hr", 0)) * 3600,
-        backup=str(node.get("backup", "")),
         time=read_time(node.get("time")),
         csv=CsvProps(bool(csv.get("hasHeader", base.has_header)), bool(csv.get("hasMeta", base.has_meta)), str(csv.get("delimiter", base.delimiter)), str(csv.get("compression", ""))),
         json=JsonProps(str(json.get("rowsField", "")), {str(k): str(x) for k, x in (json.get("columnsMap") or {}).items()}),
@@ -171,7 +167,6 @@ def table_spec(name: str, node: Mapping) -> TableSpec:
         settings={str(k): str(x) for k, x in (node.get("settings") or {}).items()},
         macros={str(k): tuple(map(str, x)) for k, x in (node.get("macros") or {}).items() if isinstance(x, list)},
         headers=tuple(map(str, node.get("headers") or ())),
-        optimal_block_size=int(node.get("optimal_block_size", 0)),
     )
 
 

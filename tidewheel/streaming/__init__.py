@@ -1,5 +1,5 @@
 """Streams into tables."""
 
-from .append import AppendStream, kafka_batches, kafka_stream, segments
+from .append import AppendStream, kafka_batches, kafka_messages, kafka_stream, segments
 
-__all__ = ["AppendStream", "kafka_batches", "kafka_stream", "segments"]
+__all__ = ["AppendStream", "kafka_batches", "kafka_messages", "kafka_stream", "segments"]

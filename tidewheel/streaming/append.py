@@ -7,14 +7,15 @@ matter of queries, not of the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import json
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..catalog import DATE, Catalog, Table
+from ..catalog import DATE, Catalog, Table, drop_days
 from ..schema import TIME
 from ..sources.files import of_json_texts
 from ..sources.thrift import of_thrift
@@ -51,13 +52,27 @@ def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema: T.Struct
     return _messages(reader.load(), schema, serde, columns_map)
 
 
-def kafka_batches(spark: SparkSession, brokers: str, topic: str, schema: T.StructType, offsets: Mapping[int, tuple[int, int]], serde: str = "JSON", columns_map: Mapping | None = None) -> DataFrame:
-    """A range of offsets of each partition, as a batch."""
-    import json
+#: Gets messages (value, timestamp and the like) by the options of Spark's batch source.
+Reader = Callable[[Mapping[str, str]], DataFrame]
 
-    edge = lambda i: json.dumps({topic: {str(p): r[i] for p, r in offsets.items()}})
-    df = spark.read.format("kafka").options(**{"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": edge(0), "endingOffsets": edge(1)}).load()
-    return _messages(df, schema, serde, columns_map)
+
+def _batch(spark: SparkSession, options: Mapping[str, str], reader: Reader | None) -> DataFrame:
+    return reader(options) if reader else spark.read.format("kafka").options(**options).load()
+
+
+def kafka_batches(spark: SparkSession, brokers: str, topic: str, schema: T.StructType, offsets: Mapping[int, tuple[int, int]], serde: str = "JSON", columns_map: Mapping | None = None, size: int = SEGMENT, reader: Reader | None = None) -> DataFrame:
+    """The whole segments of ``size`` offsets in a range of each partition, as a batch; a tail that isn't full waits."""
+    whole = {p: list(segments(first, last, size)) for p, (first, last) in offsets.items()}
+    ranges = {p: (s[0][0], s[-1][1]) if s else (offsets[p][0], offsets[p][0]) for p, s in whole.items()}
+    edge = lambda i: json.dumps({topic: {str(p): r[i] for p, r in ranges.items()}})
+    options = {"kafka.bootstrap.servers": brokers, "assign": json.dumps({topic: sorted(ranges)}), "startingOffsets": edge(0), "endingOffsets": edge(1)}
+    return _messages(_batch(spark, options, reader), schema, serde, columns_map)
+
+
+def kafka_messages(spark: SparkSession, brokers: str, topic: str, schema: T.StructType, since_ms: int | None = None, serde: str = "JSON", columns_map: Mapping | None = None, reader: Reader | None = None) -> DataFrame:
+    """What a topic holds now, from a time on, as a batch."""
+    start = {"startingTimestamp": str(since_ms), "startingOffsetsByTimestampStrategy": "latest"} if since_ms is not None else {"startingOffsets": "earliest"}
+    return _messages(_batch(spark, {"kafka.bootstrap.servers": brokers, "subscribe": topic, "endingOffsets": "latest", **start}, reader), schema, serde, columns_map)
 
 
 class AppendStream:
@@ -73,24 +88,18 @@ class AppendStream:
             rows = batch.where(F.col(TIME) != 0).withColumn(DATE, F.date_from_unix_date(F.floor(F.col(TIME) / 86400).cast("int")))
             rows.write.mode("overwrite").partitionBy(DATE).parquet(f"{self.path}/data/batch={batch_id}")
 
-        self.schema = T.StructType([*stream.schema, T.StructField(DATE, T.DateType()), T.StructField("batch", T.LongType())])
+        fs, p = self.catalog._fs(f"{self.path}/schema.json")
+        out = fs.create(p, True)
+        out.write(T.StructType([*stream.schema, T.StructField(DATE, T.DateType()), T.StructField("batch", T.LongType())]).json().encode())
+        out.close()
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
     def refresh(self, **more) -> Table:
-        """Register what is complete so far."""
-        df = self.catalog.spark.read.schema(self.schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/batch=*")
+        """Register what is complete so far; any process may, once the stream has been started somewhere."""
+        stored = self.catalog.spark.read.text(f"{self.path}/schema.json", wholetext=True).first()[0]
+        df = self.catalog.spark.read.schema(T.StructType.fromJson(json.loads(stored))).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/batch=*")
         return self.catalog.register(self.name, df.drop("batch"), **more)
 
     def retain(self, max_seconds: float) -> int:
         """Remove the days that ended more than ``max_seconds`` ago; how many directories went."""
-        oldest = int(self.catalog.now() - max_seconds) // 86400
-        fs, p = self.catalog._fs(f"{self.path}/data/batch=*/{DATE}=*")
-        gone = 0
-        import datetime as dt
-
-        for status in fs.globStatus(p) or []:
-            day = dt.date.fromisoformat(status.getPath().getName().split("=")[1])
-            if (day - dt.date(1970, 1, 1)).days < oldest:
-                fs.delete(status.getPath(), True)
-                gone += 1
-        return gone
+        return drop_days(self.catalog, f"{self.path}/data/batch=*", int(self.catalog.now() - max_seconds))
