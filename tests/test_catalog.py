@@ -170,10 +170,23 @@ def test_demand(spark, tmp_path):
         c.load_demand({**request, "source": str(tmp_path / "nothing.json")})
 
 
+def murmur3(value, seed=42):
+    """Murmur3 of the eight bytes of a long, as 32 bits with a sign."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: (x << r | x >> 32 - r) & mask
+    for word in (value & mask, value >> 32 & mask):
+        h = (turn(h ^ turn(word * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def test_hash_bucket(spark):
-    values = [323133479422274244, 822118244386100168, 105060741215683792, 550776366837013393, 46936158524946568]
-    df = spark.createDataFrame([(x,) for x in values], "v long")
-    assert {r[0] for r in df.select(hash_bucket(F.col("v"), 10_000)).collect()} == {1211}
+    values = [0, 1, -1, 7_777_777_777, -(1 << 63), (1 << 63) - 1, *range(10**6, 10**6 + 40)]
+    got = spark.createDataFrame([(x,) for x in values], "v long").select(hash_bucket(F.col("v"), 1000)).collect()
+    assert [r[0] for r in got] == [murmur3(x) % 1000 for x in values]
 
 
 def test_requests(spark):

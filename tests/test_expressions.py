@@ -1,3 +1,6 @@
+import datetime as dt
+import re
+
 import pytest
 from pyspark.sql import types as T
 
@@ -6,17 +9,8 @@ from tidewheel.errors import FailCompileQuery, MissingOutputFields
 from tidewheel.functions.codecs import delta_decode, delta_encode
 from tidewheel.plans.expressions import avg, between, card, col, count, hist, in_, like, max_, nin, pct, reverse, round_time, script, sql_of, starts, sum_, tpm, v
 
-# fixed values: texts, patterns and results
-LIKE = [
-    ("a", "a%", True), ("a", "%a%", True), ("a", "%a", True), ("abc", "abc%", True), ("abc", "%abc%", True), ("abc", "%abc", True), ("abcdefg", "abc%", True),
-    ("Shawn says hi", "%says%", True), ("long time no see", "%see", True), ("the sky is cool", "%is", False), ("the sky is awesome", "the sky%", True),
-    ("hi there ", "%i th%", True), ("hi there ", "i th%", False), ("hi there", "%there", True), ("easy dessert pizza recipe", "%recipe%", True),
-    ("a_b", "a_b", True), ("axb", "a_b", False), ("a\\b", "%\\%", True), ("short", "a much longer pattern%", False),
-]
-PREFIX = [
-    ("abcdefg", "abc", True), ("Shawn says hi", "says", False), ("long time no see", "long time", True), ("the sky is cool", "is", False),
-    ("the sky is awesome", "the sky", True), ("hi there ", "%i th", False), ("hi there ", "i th", False), ("hi there", "hi there", True),
-]
+TEXTS = ["", "%", "harbour", "Harbour wall", "the harbour", " wall", "a_b", "aXb", "back\\slash", "line\nbreak", "100% wool", "été", "(a|b)*", "bour", "barbour bar"]
+PATTERNS = ["", "%", "%%", "harbour", "harbour%", "%harbour", "%bour%", "h%r", "%a%b%", "a_b", "%\\%", "%(a|b)*", "l%k", "100\\%%", "é%", "%wall", "bar%bar", "%our wall"]
 
 
 @pytest.fixture(scope="module")
@@ -35,24 +29,40 @@ def one(spark):
     return run
 
 
-@pytest.mark.parametrize("text,pattern,expected", LIKE)
-def test_like(one, text, pattern, expected):
-    assert one(like(col("s"), pattern), {"s": text})[0] is expected
-    assert one(like(col("s"), pattern.swapcase(), case_sensitive=False), {"s": text})[0] is expected
-    assert one(like(col("s"), pattern, opposite=True), {"s": text})[0] is not expected
+@pytest.fixture(scope="module")
+def texts(spark):
+    e = Engine(spark)
+    e.catalog.register("t", spark.createDataFrame([(x,) for x in TEXTS], "s string"))
+    return lambda *conditions: [[r[i] for r in rows] for rows in [e.table("t").select(*conditions).build().collect()] for i in range(len(conditions))]
+
+
+def test_like(texts):
+    """The percent sign stands for any text, everything else for itself."""
+    for p in PATTERNS:
+        means = re.compile(".*".join(map(re.escape, p.split("%"))), re.S).fullmatch
+        exact, folded = [means(x) is not None for x in TEXTS], [re.compile(means.__self__.pattern, re.S | re.I | re.A).fullmatch(x) is not None for x in TEXTS]
+        loud = "".join(c.upper() if c.isascii() else c for c in p)
+        got = texts(like(col("s"), p), like(col("s"), loud, case_sensitive=False), like(col("s"), p, opposite=True), like(col("s"), loud, case_sensitive=False, opposite=True))
+        assert got == [exact, folded, [not x for x in exact], [not x for x in folded]], p
+
+
+def test_prefix(texts):
+    """Nothing in a prefix stands for anything else."""
+    for p in ["", "h", "harbour", "Harbour", "the h", "100%", "%", "a_", "back\\", "line\n", "(a|"]:
+        exact, folded = [x.startswith(p) for x in TEXTS], [x.lower().startswith(p.lower()) for x in TEXTS]
+        assert texts(starts(col("s"), p), starts(col("s"), p.upper(), case_sensitive=False), starts(col("s"), p, opposite=True)) == [exact, folded, [not x for x in exact]], p
 
 
-@pytest.mark.parametrize("text,prefix,expected", PREFIX)
-def test_prefix(one, text, prefix, expected):
-    assert one(starts(col("s"), prefix), {"s": text})[0] is expected
-    assert one(starts(col("s"), prefix.swapcase(), case_sensitive=False), {"s": text})[0] is expected
+UNITS = ["hour", "day", "week", "month", "quarter", "year"]
 
 
-@pytest.mark.parametrize("unit,expected", [("hour", 2660400), ("day", 2592000), ("week", 2073600), ("month", 0), ("quarter", 0), ("year", 0)])
-def test_round_time(one, unit, expected):
-    assert one(round_time(v(2661623), unit))[0] == expected
-    units = ["hour", "day", "week", "month", "quarter", "year"]
-    assert one(round_time(v(2661623), units.index(unit) + 1))[0] == expected
+@pytest.mark.parametrize("unit", UNITS)
+def test_round_time(one, unit):
+    when = dt.datetime(1999, 8, 18, 21, 47, 3, tzinfo=dt.timezone.utc)  # a Wednesday
+    day = when.replace(hour=0, minute=0, second=0)
+    start = {"hour": day.replace(hour=21), "day": day, "week": day.replace(day=15), "month": day.replace(day=1), "quarter": day.replace(month=7, day=1), "year": day.replace(month=1, day=1)}
+    for u in (unit, UNITS.index(unit) + 1):
+        assert one(round_time(v(int(when.timestamp())), u))[0] == int(start[unit].timestamp())
 
 
 B, S, I, L, R, D = T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()

@@ -1,33 +1,40 @@
+import itertools
+
 import pytest
 from pyspark.sql import types as T
 
-from tidewheel.schema import is_metric, parse_schema, result_kind, zero
+from tidewheel.schema import ALIASES, is_metric, parse_schema, result_kind, zero
 
-B, S, I, L, R, D = T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()
+ORDER = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
+OTHER = [T.StringType(), T.BooleanType(), T.DecimalType(38, 0), T.ArrayType(T.LongType()), T.MapType(T.StringType(), T.LongType())]
 
 
-def test_parse():
-    got = parse_schema("ROW<_time_:bigint, id:int, event:string, items:list<string>, flag:bool, value:tinyint, weight:double, stamp:int128, m:map<string,int>, a.b:REAL>")
-    assert [(f.name, f.dataType) for f in got] == [
-        ("_time_", L), ("id", I), ("event", T.StringType()), ("items", T.ArrayType(T.StringType())), ("flag", T.BooleanType()),
-        ("value", B), ("weight", D), ("stamp", T.DecimalType(38, 0)), ("m", T.MapType(T.StringType(), I)), ("a.b", R),
-    ]
-    assert parse_schema("row< a : DECIMAL , b:Binary >") == T.StructType([T.StructField("a", D), T.StructField("b", T.StringType())])
+def test_every_type_name():
+    for style in (str.lower, str.upper, str.title):
+        text = ", ".join(f"c{i} : {style(name)}" for i, name in enumerate(ALIASES))
+        assert [f.dataType for f in parse_schema(f"{style('row')}<{text}>")] == list(ALIASES.values())
+    kinds = {"port:smallint": T.ShortType(), "tags:vector<varchar>": T.ArrayType(T.StringType()), "sizes:dictionary<char,real>": T.MapType(T.ByteType(), T.FloatType()), "geo.lat-lon:double": T.DoubleType()}
+    assert {f"{f.name}": f.dataType for f in parse_schema(f"struct<{','.join(kinds)}>")} == {k.split(":")[0]: v for k, v in kinds.items()}
 
 
-@pytest.mark.parametrize("bad", ["", "int", "ROW<a>", "ROW<a:int", "ROW<a:what>", "ROW<a:struct<b:int>>", "ROW<a:int,a:int>", "ROW<a:int> x", "ROW<a:list<list<int>>>"])
+@pytest.mark.parametrize("bad", ["", "row", "bigint", "row<", "row<x>", "row<x:>", "row<x:bigint", "row<x:number>", "row<x:bigint y:int>", "row<x:row<y:bigint>>", "row<x:real,x:real>", "row<x:real>>", "row<x:map<int>>", "row<x:array<map<int,int>>>", "row<?:int>"])
 def test_bad_schemas(bad):
     with pytest.raises(ValueError):
         parse_schema(bad)
 
 
-@pytest.mark.parametrize("left,right,result", [(B, I, I), (S, L, L), (D, L, D), (D, R, D), (I, R, R)])
-def test_result_kinds(left, right, result):
-    assert result_kind(left, right) == result == result_kind(right, left)
+def test_result_kinds():
+    """Of any two numeric kinds the wider one, in either order; nothing else has arithmetic."""
+    for (i, a), (j, b) in itertools.product(enumerate(ORDER), repeat=2):
+        assert result_kind(a, b) == ORDER[max(i, j)]
+    for a, b in itertools.product(ORDER + OTHER, OTHER):
+        for pair in ((a, b), (b, a)):
+            with pytest.raises(TypeError):
+                result_kind(*pair)
 
 
 def test_zero_and_metrics():
-    assert zero(T.StringType()) == "" and zero(T.BooleanType()) is False and zero(L) == 0 and zero(D) == 0.0 and zero(T.ArrayType(I)) is None
-    assert is_metric(T.BooleanType()) and is_metric(I) and not is_metric(T.StringType()) and not is_metric(T.ArrayType(I))
-    with pytest.raises(TypeError):
-        result_kind(T.StringType(), I)
+    for kind in ORDER:
+        assert zero(kind) == 0 and type(zero(kind)) is (float if isinstance(kind, T.FloatType | T.DoubleType) else int) and is_metric(kind)
+    assert [zero(k) for k in OTHER] == ["", False, 0, None, None]
+    assert [is_metric(k) for k in OTHER] == [False, True, True, False, False]

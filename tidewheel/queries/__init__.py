@@ -1,6 +1,7 @@
 """Registered queries and their oracle SQL.
 
-Every query goes through the engine, as a fluent query or a service request, over whole tables.
+Most go through the engine, as a fluent query or a service request, over whole tables; agg_tree_merge and hash_bucket call the functions
+below it, whose results the engine's JSON and layouts are made of. Those of ``stored`` put the tables elsewhere first.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ..plans.expressions import avg, avg_exact, between, card, col, count, hist,
 from ..plans.query import Query
 from ..plans.request import ALL_ROWS, All, Any, Custom, Metric, Order, Predicate, QueryRequest
 from ..spec import ColumnProps, TimeSpec
+from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,10 +218,28 @@ def _aggregation() -> None:
         return tree_counts(df, ["parity"], "stack").select("parity", F.array_join("path", "/").alias("path"), "n")
 
     register("agg_tree_merge", "WITH t AS (SELECT event_id % 2 AS parity, event_type AS a, user_id % 10 AS b FROM events) SELECT parity, '' AS path, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT parity, a, count(*) FROM t GROUP BY 1, 2 UNION ALL SELECT parity, concat(a, '/', b), count(*) FROM t GROUP BY 1, a, b")(trees)
-    register("agg_tree_merge_json")(lambda spark, d: engine(spark, d, "events").table("events").apply("stack", T.StringType(), stack).select(col("event_type"), tpm(col("stack"), 3).as_("tree"), count(v(1)).as_("n")).groupby(1).build())
+    node = lambda name, n, below: f"""concat('{{"name":"', {name}, '","value":', {n}, {below}, '}}')"""
+    kinds = node("event_type", "n", "below")
+    tree_sql = f"""
+        WITH t AS (SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS digit, count(*) AS n FROM events GROUP BY ALL),
+        kinds AS (SELECT event_type, CAST(sum(n) AS BIGINT) AS n, coalesce(',"children":[' || string_agg({node("digit", "n", "''")}, ',' ORDER BY digit) FILTER (WHERE n >= 3) || ']', '') AS below FROM t GROUP BY 1)
+        SELECT event_type, CASE WHEN n < 3 THEN '' ELSE {node("''", "n", f"""',"children":[', {kinds}, ']'""")} END AS tree, n FROM kinds"""
+    register("agg_tree_merge_json", tree_sql)(lambda spark, d: engine(spark, d, "events").table("events").apply("stack", T.StringType(), stack).select(col("event_type"), tpm(col("stack"), 3).as_("tree"), count(v(1)).as_("n")).groupby(1).build())
     register("agg_pct_approx")(lambda spark, d: engine(spark, d, "events").table("events").select(col("event_type"), pct(col("value"), 50).as_("p50"), pct(col("value"), 99).as_("p99")).groupby(1).build())
     register("agg_card_est")(lambda spark, d: engine(spark, d, "lineitem").table("lineitem").select(col("l_returnflag"), card(col("l_orderkey")).as_("orders")).groupby(1).build())
 
+    # estimates against the exact values: the rank is within the promised error, the count within three standard errors
+    def pct_bound(spark, d):
+        q = engine(spark, d, "events").table("events")
+        est = q.select(col("event_type"), pct(col("value"), 50).as_("p50"), pct(col("value"), 99).as_("p99"), count(v(1)).as_("n")).groupby(1).build()
+        ranks = source(spark, d, "events").join(F.broadcast(est), "event_type").groupBy("event_type").agg(*(F.abs(F.count_if(F.col("value") <= F.col(p)) - F.first("n") * x).alias(p) for p, x in (("p50", 0.5), ("p99", 0.99))), F.first("n").alias("n"))
+        return ranks.select("event_type", *((F.col(p) <= 1 + F.col("n") * 1e-4).alias(p) for p in ("p50", "p99")))
+
+    register("agg_pct_approx_bound", "SELECT event_type, true AS p50, true AS p99 FROM events GROUP BY 1")(pct_bound)
+    register("agg_card_est_bound", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1")(
+        lambda spark, d: engine(spark, d, "lineitem").table("lineitem").select(col("l_returnflag"), card(col("l_orderkey")).as_("est"), card(col("l_orderkey"), exact=True).as_("exact")).groupby(1).build().select("l_returnflag", (F.abs(F.col("est") - F.col("exact")) <= 1 + F.col("exact") * 3 * 0.0041).alias("near"))
+    )
+
 
 # timelines
 
@@ -284,10 +304,27 @@ def _rest() -> None:
         return h.select("column", *map(get, ("count", "min", "max", "sum")))
 
     register("column_histogram", "SELECT 'p_size' AS \"column\", count(*)::DOUBLE AS count, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, sum(p_size)::DOUBLE AS sum FROM part UNION ALL SELECT 'p_retailprice', count(*), min(p_retailprice), max(p_retailprice), sum(p_retailprice) FROM part UNION ALL SELECT 'p_name', count(*), NULL, NULL, NULL FROM part")(histograms)
-    register("hash_bucket")(lambda spark, d: source(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hash_bucket(F.col("l_orderkey"), 10_000).alias("bucket")))
+    register("hash_bucket", _murmur_sql("l_orderkey", 10_000, "l_orderkey, l_linenumber", "lineitem"))(lambda spark, d: source(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hash_bucket(F.col("l_orderkey"), 10_000).alias("bucket")))
     register("time_spec_column", "SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS _time_ FROM orders")(_time_spec)
 
 
+def _murmur_sql(key: str, buckets: int, keep: str, table: str) -> str:
+    """Murmur3 of a long with seed 42, as 32 bits with a sign, modulo ``buckets``, in 32-bit steps."""
+    low = lambda x: f"(({x}) % 4294967296)"
+    turn = lambda x, r: f"(({x}) * {1 << r} % 4294967296 + ({x}) // {1 << (32 - r)})"
+    steps = [f"(SELECT {keep}, (CAST({key} AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS key, 42::HUGEINT AS h FROM {table})"]
+    for word in ("key % 4294967296", "key // 4294967296"):
+        for column, value in (("k", low(f"({word}) * 3432918353")), ("k", low(f"{turn('k', 15)} * 461845907")), ("h", "xor(h, k)"), ("h", low(f"{turn('h', 13)} * 5 + 3864292196"))):
+            steps.append(f"(SELECT {keep}, key, {'h, ' if column == 'k' else ''}{'k, ' if column == 'h' else ''}{value} AS {column} FROM {{}})")
+    steps.append(f"(SELECT {keep}, xor(h, 8::HUGEINT) AS h FROM {{}})")
+    for shift, factor in ((16, 2246822507), (13, 3266489909), (16, 1)):
+        steps.append(f"(SELECT {keep}, {low(f'xor(h, h // {1 << shift}) * {factor}')} AS h FROM {{}})")
+    sql = steps[0]
+    for step in steps[1:]:
+        sql = step.format(sql)
+    return f"SELECT {keep}, CAST(((h - CASE WHEN h >= 2147483648 THEN 4294967296 ELSE 0 END) % {buckets} + {buckets}) % {buckets} AS INTEGER) AS bucket FROM {sql}"
+
+
 def _time_spec(spark: SparkSession, d: str) -> DataFrame:
     e = Engine(spark)
     df = source(spark, d, "orders").drop("_time_").withColumn("day", F.date_format("o_orderdate", "MM/dd/yyyy"))
@@ -300,3 +337,5 @@ _projection()
 _aggregation()
 _timelines()
 _rest()
+for _name, (_run, _sql) in stored.QUERIES.items():
+    register(_name, _sql)(_run)
