@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,16 +25,17 @@ BATCH_ROWS = 1_000
 #: Bits of a bitmap that goes to all executors: 4 MB, whatever the tables' size.
 BITMAP_BITS = 1 << 25
 
-_written: list[tuple[SparkSession, str]] = []
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not _own_folder:  # on one machine, as in tests
+    if not spark.sparkContext.master.startswith("local"):  # each executor would write to its own disk, and reads would miss the others' rows
+        raise RuntimeError("spark.checkpoint.dir isn't set; the operators need a folder that driver and executors share")
+    if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tidewheel-"))
     return f"file://{_own_folder[0]}"
 
@@ -49,26 +51,53 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it again.
 
     This cuts the lineage like checkpoint(), which would compute the last stage twice. Lost executors
-    don't lose the rows. The files go when the driver's Python ends.
+    don't lose the rows. Inside an operator marked ``releases`` the files go when it returns, but for those that its result reads; these
+    go when the driver's Python ends.
     """
     spark = df.sparkSession
     tune(spark)
     path = f"{shared_folder(spark)}/tidewheel/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
+    _scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+#: Tables written and not removed yet: those of no operator first, and then those of each operator that is running.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def releases(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Remove the tables that an operator has written, once it returns a frame, except those that the frame reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **more):
+        _scopes.append([])
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended before
-            return
+            out = operator(*args, **more)
+        except BaseException:
+            _remove(_scopes.pop())
+            raise
+        written = _scopes.pop()
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in out.inputFiles()} if written else set()
+        kept = [w for w in written if w[1].rsplit("/", 1)[-1] in read]
+        _remove([w for w in written if w not in kept])
+        _scopes[-1] += kept
+        return out
+
+    return run
+
+
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in written:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for written in _scopes:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _remove(written)
 
 
 def give_back() -> None:
@@ -109,7 +138,17 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
             out = work(cols)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return df.withColumn(text, valid(text)).mapInArrow(run, target)
+
+
+def valid(text: str = "text") -> Column:
+    """A text whose bytes that are no UTF-8 are replacement characters, as Python would refuse them."""
+    return F.make_valid_utf8(F.col(text))
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``row``, beside an operator's own columns, so that none of its names can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
 
 
 def bitmap_pieces(keys: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
@@ -165,15 +204,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     A bitmap of fixed size tells for most of the rows that stay, in the scan, that they aren't in ``gone``; only the others
     are shuffled to the join.
     """
-    marks = cut(gone.select(F.col("doc_id").cast("long").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    mark = F.xxhash64(F.col("doc_id").cast("long"), digest())
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.xxhash64("__id", "__digest").alias("key"))))
+    marks = cut(gone.select(F.col("doc_id").cast("long").alias("id"), F.col("digest").alias("name")).distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.xxhash64("id", "name").alias("key"))))
 
     @F.pandas_udf("boolean")
     def maybe(keys):
         return pd.Series(in_bitmap(np.frombuffer(bits.value, np.uint8), keys.to_numpy(np.int64).view(np.uint64)))
 
-    marked = docs.withColumn("__maybe", maybe(mark))
-    rest = marked.where("__maybe").drop("__maybe")
-    kept = rest.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest() == F.col("__digest")), "left_anti")
-    return marked.where("not __maybe").drop("__maybe").unionByName(kept)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+    marked = rows.withColumn("maybe", maybe(F.xxhash64("doc_id", "digest")))
+    kept = marked.where("maybe").join(marks, F.expr("doc_id <=> id and digest = name"), "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(kept.select("row.*"))

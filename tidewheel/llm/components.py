@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # a table, so that the join can split a node of many edges
     joined = near.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -139,14 +139,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
-ORACLE_OP9 = """
+ORACLE_OP9 = f"""
 WITH lines AS (
   SELECT doc_id, pos, line, replace(line, ' ', '') = '' AS blank
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 numbered AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM lines WHERE NOT blank),
 windows AS (SELECT doc_id, i, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM numbered),
-later AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS copy FROM windows WHERE b IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (SELECT unnest([0, 1]) AS d) WHERE copy > 1),
+later AS (
+  SELECT doc_id, i, 2 AS size, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS copy FROM windows WHERE b IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) FROM numbered
+  WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {linededup.MIN_WORDS}),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (SELECT unnest([0, 1]) AS d) WHERE copy > 1 AND d < size),
 kept AS (
   SELECT l.doc_id, l.pos, l.line, g.i IS NOT NULL AS cut
   FROM lines l LEFT JOIN numbered n ON l.doc_id = n.doc_id AND l.pos = n.pos LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i)
@@ -155,10 +159,46 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE cut) AS BIGINT)
 FROM kept GROUP BY doc_id
 """
 
+ORACLE_OP6 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT row, unnest(range(1, greatest(len(words) - {substrings.WINDOW - 2}, 1))) AS i,
+    unnest([md5(array_to_string(words[j:j + {substrings.WINDOW - 1}], ' ')) FOR j IN range(1, greatest(len(words) - {substrings.WINDOW - 2}, 1))]) AS w FROM docs),
+often AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT row, list(i ORDER BY i) AS starts FROM often GROUP BY row),
+marked AS (
+  SELECT doc_id, words, coalesce(starts, []) AS starts FROM docs LEFT JOIN gone USING (row)),
+edges AS (SELECT doc_id, words, row_number() OVER () AS row, starts FROM marked),
+spots AS (SELECT row, i, sum(d) AS d FROM (SELECT row, unnest(starts) AS i, 1 AS d FROM edges UNION ALL SELECT row, unnest(starts) + {substrings.WINDOW}, -1 FROM edges) GROUP BY ALL),
+each AS (SELECT doc_id, row, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM edges),
+open AS (SELECT e.*, coalesce(sum(s.d) OVER (PARTITION BY e.row ORDER BY e.i), 0) AS open FROM each e LEFT JOIN spots s ON e.row = s.row AND e.i = s.i),
+summed AS (SELECT row, count(*) AS n_words, count(*) FILTER (WHERE open > 0) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE open = 0) AS kept FROM open GROUP BY row)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM edges LEFT JOIN summed USING (row)
+"""
+
+ORACLE_OP8 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+owners AS (
+  SELECT DISTINCT item_id, least(len(words), {decontaminate.WINDOW}) AS m, unnest([array_to_string(words[j:j + {decontaminate.WINDOW - 1}], ' ') FOR j IN range(1, greatest(len(words) - {decontaminate.WINDOW - 2}, 2))]) AS w FROM items WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT m FROM owners),
+hits AS (
+  SELECT row, i, m, w FROM (
+    SELECT row, m, unnest(range(1, greatest(len(words) - m + 2, 1))) AS i, unnest([array_to_string(words[j:j + m - 1], ' ') FOR j IN range(1, greatest(len(words) - m + 2, 1))]) AS w FROM docs, sizes)
+  WHERE w IN (SELECT w FROM owners)),
+words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS k FROM hits) GROUP BY row),
+found AS (SELECT row, list(DISTINCT item_id ORDER BY item_id) AS ids FROM hits JOIN owners USING (w) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_items,
+  sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (row) LEFT JOIN found USING (row)
+"""
+
 #: Queries that SQL can't express over whole tables have none; tests/llm holds them against brute force.
 ORACLES = {
     "op1_mixing_budgets": ORACLE_OP1,
     "op4_maxscore": ORACLE_OP4,
     "op5_sharding_permutation_table": ORACLE_OP5,
+    "op6_fm_index_substrings": ORACLE_OP6,
+    "op8_prefix_decontamination": ORACLE_OP8,
     "op9_line_suffix_array": ORACLE_OP9,
 }
