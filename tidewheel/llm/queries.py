@@ -130,13 +130,13 @@ SELECT doc_id, slot, ({sharding.lookup_table(SHARDS)})[slot + 1] AS shard FROM (
 
 ORACLE_OP4 = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vector FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vector FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.vector[i] * c.vector[i] FOR i IN range(1, len(q.vector) + 1)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.vector[i] * c.vector[i] FOR i IN range(1, len(q.vector) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
 ORACLE_OP9 = f"""
