@@ -1,10 +1,11 @@
 import itertools
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import ordered
-from tidewheel.llm import jaccard
+from tidewheel.llm import jaccard, simhash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -31,7 +32,7 @@ def groups(rows):
 
 @pytest.mark.parametrize("pairs_per_bucket", [jaccard.PAIRS_PER_BUCKET, 0])
 def test_against_brute_force(docs, rows, pairs_per_bucket):
-    kept = jaccard.representatives(docs, pairs_per_bucket=pairs_per_bucket)
+    kept = simhash.similar_representatives(docs, pairs_per_bucket=pairs_per_bucket)
     assert kept.columns == docs.columns
     least = {}
     for r, g in zip(rows, groups(rows), strict=True):
@@ -62,8 +63,21 @@ def test_crowded_bucket(spark):
     for i, g in enumerate(groups([(i, t) for i, t in enumerate(texts)])):
         least.setdefault(g, i)
     for pairs_per_bucket in (10, 100_000):
-        assert sorted(r.doc_id for r in jaccard.representatives(docs, pairs_per_bucket=pairs_per_bucket).collect()) == sorted(least.values())
+        assert sorted(r.doc_id for r in simhash.similar_representatives(docs, pairs_per_bucket=pairs_per_bucket).collect()) == sorted(least.values())
+
+
+def test_tests_before_the_sets_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        common = rng.integers(0, 1 << 64, n, np.uint64)
+        a, b = (np.unique(np.concatenate((common, rng.integers(0, 1 << 64, int(rng.integers(0, n // 8 + 2)), np.uint64)))) for _ in range(2))
+        near = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        x, y = jaccard.parities([a, b])
+        cells = sum(((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(x, y, strict=True))
+        assert len(x) == jaccard.PARITY_BITS // 64 and cells <= len(np.setxor1d(a, b))
+        assert not near or (9 * cells <= len(a) + len(b) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)))
 
 
 def test_empty(nothing):
-    assert jaccard.representatives(nothing).count() == 0
+    assert simhash.similar_representatives(nothing).count() == 0

@@ -41,7 +41,7 @@ def components(rows):
 
 
 def test_against_brute_force(docs, rows, same):
-    for pairs_per_key in (simhash.PAIRS_PER_KEY, 1):  # by pairs, and by midpoints
+    for pairs_per_key in (simhash.PAIRS_PER_KEY, 6, 0):  # by pairs; under refined keys, too; by midpoints
         same(simhash.near_duplicates(docs, pairs_per_key=pairs_per_key), ["doc_id", "fingerprint", "component_id"], components(rows))
 
 
@@ -78,6 +78,8 @@ def test_linked_fingerprints_meet(a, flips):
     filed = set(key[(row == 0) & ~probe].tolist())
     asked = set(key[(row == 1) & probe].tolist())
     assert filed & asked
+    fine, at = simhash.refined_rows(key, np.array([a, b], np.uint64).view(np.int64)[row])
+    assert set(fine[(row[at] == 0) & ~probe[at]].tolist()) & set(fine[(row[at] == 1) & probe[at]].tolist())
 
 
 def test_components(spark):

@@ -1,17 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Jaccard similarity of word shingles, for SimHash's groups of similar texts.
 
-Two texts are near-duplicates where the sets of their five-word shingles have a similarity of 0.8 or more. Texts of equal
-sets are one node. Candidates are nodes that agree in all ROWS minima of one of BANDS bands of a MinHash signature; each is
-verified on the sets themselves, so no link is below the threshold. A pair at similarity s is missed with probability
+Two texts are near-duplicates where the sets of their five-word shingles have a similarity of 0.8 or more. Texts of equal sets are one
+node. Nodes that may be near meet in buckets; MinHash gives such buckets: one for each of BANDS bands of ROWS minima. What meets is
+verified on the sets themselves, so no link is below the threshold. A pair at similarity s meets in no band with probability
 (1 - s^ROWS)^BANDS: 0.0004 at 0.8, under 1e-6 at 0.9.
 
-In a band's bucket of few nodes all pairs are verified. In a crowded one only what joins components matters: for a few
-rounds, nodes are held against one member of their bucket, and those in its component by then are left out. At last all
-pairs that are still in different components are verified, so crowded buckets link all that small ones would.
+Before that, a pair must pass two tests that no near-duplicates fail: the sets' sizes, and the parities of their shingles over PARITY_BITS
+cells, since cells that differ can't be more than the shingles that do.
+
+In a bucket of few nodes all pairs are tested. In a crowded one only what joins components matters: for a few rounds, nodes are held
+against one member of their bucket, and those in its component by then are left out. At last all pairs that are still in different
+components are tested, so crowded buckets link all that small ones would.
 """
 
 from __future__ import annotations
 
+import itertools
 
 import numpy as np
 import xxhash
@@ -20,14 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_pieces, cut, digest, map_texts, possible
 from .components import connected_components
-from .simhash import one_of_each, shingle_hashes
 
-WORDS = 5
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BANDS, ROWS = 20, 5
 #: A bucket in which more pairs than this would meet is crowded.
 PAIRS_PER_BUCKET = 1024
 #: Rounds of one member against the others of a crowded bucket.
 ROUNDS = 3
+PARITY_BITS = 1024
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS, _TERMS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
@@ -35,6 +39,19 @@ _FACTORS |= np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_hashes(text: bytes, words: int) -> list[int]:
+    """XXH64 (seed 42) of the text's word shingles, repeats included; fewer words: of the whole sequence; none: none."""
+    found = text.translate(LOWER).split()
+    if not found:
+        return []
+    joined = b" ".join(found)
+    if len(found) <= words:
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = list(itertools.accumulate(map(len, found)))
+    digest, last = xxhash.xxh64_intdigest, words - 1
+    return [digest(joined[e - n + i : ends[i + last] + i + last], 42) for i, (e, n) in enumerate(zip(ends, map(len, found[: len(found) - last]), strict=False))]
+
+
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts]
 
@@ -53,23 +70,10 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """Of every row ``doc_id``, ``digest``, ``node`` (hash of its shingle set), ``n`` (shingles) and ``bands``; wordless texts have no band."""
-
-    def work(cols: dict) -> dict:
-        sets = shingle_sets(cols["text"], words)
-        full = [s for s in sets if len(s)]
-        keys = iter(band_keys(full).tolist() if full else [])
-        return {
-            "doc_id": cols["doc_id"],
-            "digest": cols["digest"],
-            "node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64).tolist(),
-            "n": [len(s) for s in sets],
-            "bands": [next(keys) if len(s) else [] for s in sets],
-        }
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
-    return map_texts(own, work, "doc_id long, digest long, node long, n long, bands array<long>")
+def parities(sets: list[np.ndarray]) -> list[list[int]]:
+    """Per set which cells hold an odd number of its shingles, as longs."""
+    odd = (np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1 for s in sets)
+    return [np.packbits(x.astype(bool)).view(np.int64).tolist() for x in odd]
 
 
 def _sets(docs: DataFrame, picks: DataFrame, words: int) -> DataFrame:
@@ -89,6 +93,11 @@ def _close(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _may_be_near(other: str) -> Column:
+    """Whether this side's and ``other``'s sets can be near: of sizes, and of cells that differ, of which there are (n + m) / 9 at most."""
+    return _close(F.col("n"), F.col(f"n_{other}")) & F.expr(f"9 * aggregate(zip_with(parity, parity_{other}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= n + n_{other}")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of similarity 0.8 or more: with i common shingles, i / (n + m - i) >= 4 / 5."""
     own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -96,47 +105,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
 
 
-def _linked(docs: DataFrame, each: DataFrame, words: int, pairs_per_bucket: int) -> DataFrame:
-    """``node`` and ``root`` of every node with a link to another."""
-    nodes = cut(each.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
+def linked(docs: DataFrame, nodes: DataFrame, keys: DataFrame, words: int, pairs_per_bucket: int = PAIRS_PER_BUCKET) -> DataFrame:
+    """``node`` and ``root`` of every node with a link to another.
+
+    ``nodes``: ``node``, ``row`` (last, doc_id, digest: a document that has the set), ``n`` (shingles), ``parity``. ``keys``: ``node`` and ``key``,
+    the buckets in which it meets others.
+    """
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = cut(keys.join(sizes, "key").select("key", "members", "node", "n"))
-    picks = cut(nodes.join(met.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.digest").alias("name")))
+    inside = cut(keys.join(sizes, "key").select("key", "members", "node"))
+    met = cut(inside.join(nodes.select("node", "n", "parity"), "node"))
+    picks = cut(nodes.join(inside.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.digest").alias("name")))
     sets = _sets(docs, picks, words)
 
     crowded = F.col("members") * (F.col("members") - 1) / 2 > pairs_per_bucket
     few, crowd = met.where(~crowded), met.where(crowded)
-    pairs = few.select("key", F.col("node").alias("a"), F.col("n").alias("n_a")).join(few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b")), "key")
-    edges = _verified(pairs.where(F.expr("a < b") & _close(F.col("n_a"), F.col("n_b"))), sets)
+    renamed = lambda df, *more: df.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), *more)
+    pairs = few.withColumnRenamed("node", "a").join(renamed(few), "key").where(F.expr("a < b") & _may_be_near("b"))
+    edges = _verified(pairs.select("a", "b"), sets)
     if crowd.isEmpty():
         return connected_components(edges)
     for turn in range(ROUNDS + 1):
         component = connected_components(edges)
-        placed = cut(crowd.join(component, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-        center = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("center")
+        placed = cut(crowd.join(component, "node", "left").select("key", "node", "n", "parity", F.coalesce("root", "node").alias("root")))
+        center = F.min_by(F.struct("node", "n", "parity", "root"), F.xxhash64("node", F.lit(turn))).alias("center")
         apart = cut(placed.groupBy("key").agg(F.count_distinct("root").alias("roots"), center).where("roots > 1").select("key", "center"))
         if apart.isEmpty():
             return component
         if turn < ROUNDS:
-            pairs = placed.join(apart, "key").select(F.col("center.node").alias("a"), F.col("node").alias("b"), F.col("center.n").alias("n_a"), F.col("n").alias("n_b"), F.col("center.root").alias("root_a"), F.col("root").alias("root_b"))
+            others = apart.select("key", *(F.col(f"center.{c}").alias(d) for c, d in (("node", "b"), ("n", "n_b"), ("parity", "parity_b"), ("root", "root_b"))))
+            tested = placed.join(others, "key").where(F.expr("root <> root_b") & _may_be_near("b"))
         else:
             rest = cut(placed.join(apart.select("key"), "key"))
-            pairs = rest.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).join(rest.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key").where("root_a < root_b")
-        edges = edges.union(_verified(pairs.where(F.expr("root_a <> root_b") & _close(F.col("n_a"), F.col("n_b"))), sets))
+            tested = rest.join(renamed(rest, F.col("root").alias("root_b")), "key").where(F.expr("root < root_b") & _may_be_near("b"))
+        edges = edges.union(_verified(tested.select(F.col("node").alias("a"), "b"), sets))
     return connected_components(edges)
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, pairs_per_bucket: int = PAIRS_PER_BUCKET) -> DataFrame:
-    """``doc_id``, ``digest`` (of the text) and ``group`` of every row; rows linked by chains of near-duplicates share a group.
-
-    Texts of at most ``words`` words are one shingle; null and wordless ones share a group.
-    """
-    each = cut(_nodes(docs, words))
-    component = _linked(docs, each, words, pairs_per_bucket)
-    return each.join(component, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("group"))
-
-
-def representatives(docs: DataFrame, words: int = WORDS, pairs_per_bucket: int = PAIRS_PER_BUCKET) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each group of near_duplicates does; see ``one_of_each``."""
-    return one_of_each(docs, near_duplicates(docs, words, pairs_per_bucket))

@@ -7,10 +7,14 @@ codewords nearest to its 23 neighbours (one or six in all), give its keys: of tw
 the own codeword of either is among the keys of the other. So a key is an equal segment plus a codeword index of
 another one; each fingerprint is filed under 6 keys and looked up under 6 to 36. Pairs that meet are verified.
 
-Where many distinct fingerprints meet under one key, the pairs would grow with the square of their number. Those
-fingerprints are linked through midpoints instead: two fingerprints that differ in at most two bits both lie within one
-bit of some 64-bit point, and of each point's 65 possible neighbours all link to the smallest. This is exact and
-linear.
+A key under which many distinct fingerprints meet is refined: the third segments of a linked pair differ in at most two bits, so a word
+between them is within one bit of both, and its codeword's index is among the keys of either. That leaves a key an equal segment and two
+codeword indices. Where even these hold too many, as in a dense cloud, all pairs would grow with the square of their number; two
+fingerprints that differ in at most two bits both lie within one bit of some 64-bit point, and of each point's 65 possible neighbours all
+link to the smallest. This is exact and linear.
+
+Texts of similar shingle sets (Jaccard, 0.8 or more) lie up to a dozen bits apart, beyond the reach of such codes. For these groups,
+fingerprints that link are buckets of candidates beside those of MinHash, and every link is verified on the sets.
 """
 
 from __future__ import annotations
@@ -23,13 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, map_texts, without
+from . import jaccard
+from .common import cut, digest, map_texts, packed, releases, without
 from .components import connected_components
+from .jaccard import shingle_hashes
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift and width
-#: A key under which more pairs than this would meet goes the way of the midpoints.
+#: A key under which more pairs than this would meet is refined, and a refined one goes the way of the midpoints.
 PAIRS_PER_KEY = 1024
+#: Words in a shingle of similar texts.
+SIMILAR_WORDS = 5
 #: Generator polynomial of the (23, 12) Golay code.
 GOLAY = 0b101011100011
 
@@ -114,19 +121,6 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shingle_hashes(text: bytes, words: int) -> list[int]:
-    """XXH64 (seed 42) of the text's word shingles, repeats included; fewer words: of the whole sequence; none: none."""
-    found = text.translate(LOWER).split()
-    if not found:
-        return []
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return [xxhash.xxh64_intdigest(joined, 42)]
-    ends = list(itertools.accumulate(map(len, found)))
-    digest, last = xxhash.xxh64_intdigest, words - 1
-    return [digest(joined[e - n + i : ends[i + last] + i + last], 42) for i, (e, n) in enumerate(zip(ends, map(len, found[: len(found) - last]), strict=False))]
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id``, ``digest`` (of the text) and ``fp`` (the fingerprint as a signed long) of every row; null or wordless
     texts: 0."""
@@ -154,33 +148,64 @@ def _keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
-def links(prints: DataFrame, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
-    """Edges (a, b) that join all of ``prints`` (distinct ``fp``) which are linked by chains of at most two differing bits."""
-    keys = _keys(prints)
-    met = cut(
-        keys.groupBy("key")
-        .agg(F.count_if("probe").alias("n_probe"), F.count_if(~F.col("probe")).alias("n_filed"))
-        .where("n_filed > 0 and n_probe > 1")
-    )
-    hot = (F.col("n_probe") * F.col("n_filed")) > pairs_per_key
-    mine = keys.join(met.where(~hot).select("key"), "key")
+def refined_rows(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of key_rows with the indices near the third segment, and the position of the row that each is of."""
+    unsigned = prints.view(np.uint64)
+    tables = list(itertools.permutations(range(3), 2))
+    third = np.array([3 - i - j for i, j in tables])[keys >> 36]
+    words = np.zeros(len(keys), np.int64)
+    for k, (shift, width) in enumerate(SEGMENTS):
+        mine = third == k
+        words[mine] = (unsigned[mine] >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
+    near = fuzzy_indices(words)
+    row, column = np.nonzero(near >= 0)
+    return (keys[row] << 12) | near[row, column], row
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.slice(start, 4096)
+                key, fp = (np.ascontiguousarray(part.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+                found, row = refined_rows(key, fp)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[row]), part.column(2).take(pa.array(row))], names=["key", "fp", "probe"])
+
+    return rows.select("key", "fp", "probe").mapInArrow(run, "key long, fp long, probe boolean")
+
+
+def _met(keys: DataFrame, pairs_per_key: int) -> tuple[DataFrame, DataFrame]:
+    """The linked pairs (a, b) that meet under keys of few, and the rows of the other keys."""
+    sizes = cut(keys.groupBy("key").agg(F.count_if("probe").alias("n_probe"), F.count_if(~F.col("probe")).alias("n_filed")).where("n_filed > 0 and n_probe > 1"))
+    many = F.col("n_probe") * F.col("n_filed") > pairs_per_key
+    mine = keys.join(sizes.where(~many).select("key"), "key")
     pairs = (
         mine.where("not probe").select("key", F.col("fp").alias("a"))
         .join(mine.where("probe").select("key", F.col("fp").alias("b")), "key")
         .where("a < b and bit_count(a ^ b) <= 2")
         .select("a", "b")
     )
-    crowd = keys.join(met.where(hot).select("key"), "key").select("fp").distinct()
-    points = crowd.select(
-        "fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("point")
-    )
+    return pairs, keys.join(sizes.where(many).select("key"), "key")
+
+
+def links(prints: DataFrame, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
+    """Edges (a, b) that join all of ``prints`` (distinct ``fp``) which are linked by chains of at most two differing bits."""
+    pairs, crowd = _met(cut(_keys(prints)), pairs_per_key)
+    crowd = cut(crowd)
+    if crowd.isEmpty():
+        return pairs.distinct()
+    more, dense = _met(cut(_refined(crowd)), pairs_per_key)
+    points = dense.select("fp").distinct().select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("point"))
     stars = (
         points.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
     )
-    return pairs.union(stars).distinct()
+    return pairs.union(more).union(stars).distinct()
 
 
+@releases
 def near_duplicates(docs: DataFrame, words: int = 3, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -200,6 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairs_per_key: int = PAIRS_
     return each.join(named, "fp").select("doc_id", "digest", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@releases
 def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each component of near_duplicates does: that of the smallest doc_id (nulls last)."""
     # a null component_id joins those whose ids are all null, each by its fingerprint
@@ -207,6 +233,55 @@ def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
     return one_of_each(docs, near_duplicates(docs, words).select("doc_id", "digest", group.alias("group")))
 
 
+def _nodes(docs: DataFrame, words: int) -> DataFrame:
+    """Of every row ``doc_id``, ``digest``, ``node`` (hash of its shingle set), ``n`` (shingles), ``bands``, ``parity`` and ``fp``; wordless texts have
+    no band."""
+
+    def work(cols: dict) -> dict:
+        sets = jaccard.shingle_sets(cols["text"], words)
+        full = [s for s in sets if len(s)]
+        keys = iter(jaccard.band_keys(full).tolist() if full else [])
+        counts = np.array([len(s) for s in sets], np.int64)
+        return {
+            "doc_id": cols["doc_id"],
+            "digest": cols["digest"],
+            "node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64).tolist(),
+            "n": counts.tolist(),
+            "bands": [next(keys) if len(s) else [] for s in sets],
+            "parity": jaccard.parities(sets),
+            "fp": majority_bits(np.concatenate([*sets, np.empty(0, np.uint64)]), counts).tolist(),
+        }
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
+    return map_texts(own, work, "doc_id long, digest long, node long, n long, bands array<long>, parity array<long>, fp long")
+
+
+def similar(docs: DataFrame, words: int = SIMILAR_WORDS, pairs_per_bucket: int = jaccard.PAIRS_PER_BUCKET) -> DataFrame:
+    """``doc_id``, ``digest`` (of the text) and ``group`` of every row; rows linked by chains of texts whose ``words``-word shingle sets have a
+    similarity of 0.8 or more share a group.
+
+    Texts of at most ``words`` words are one shingle; null and wordless ones share a group.
+    """
+    each = cut(_nodes(docs, words))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row")
+    nodes = cut(each.where("n > 0").groupBy("node").agg(row, *(F.first(c).alias(c) for c in ("n", "bands", "parity", "fp"))))
+    edges = cut(links(nodes.select("fp").distinct()))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.lit("link"), "a", "b").alias("key"))
+    keys = (
+        nodes.select("node", F.explode("bands").alias("key"))
+        .union(nodes.select("node", F.xxhash64(F.lit("equal"), "fp").alias("key")))
+        .union(nodes.select("node", "fp").join(ends, "fp").select("node", "key"))
+    )
+    component = jaccard.linked(docs, nodes, keys, words, pairs_per_bucket)
+    return each.join(component, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("group"))
+
+
+@releases
+def similar_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, pairs_per_bucket: int = jaccard.PAIRS_PER_BUCKET) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each group of similar texts does; see ``one_of_each``."""
+    return one_of_each(docs, similar(docs, words, pairs_per_bucket))
+
+
 def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The row of the smallest doc_id (nulls last) of each group; ``named`` has ``doc_id``, ``digest`` and ``group`` of every row.
 
@@ -222,5 +297,6 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     again = cut(members.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
     if again.isEmpty():
         return kept
-    single = kept.join(again.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest() == F.col("__digest")), "left_semi")
-    return without(kept, again).unionByName(single.withColumn("__d", digest()).dropDuplicates(["doc_id", "__d"]).drop("__d"))
+    rows = packed(kept, F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+    single = rows.join(again.select(F.col("doc_id").alias("id"), F.col("digest").alias("name")), F.expr("doc_id <=> id and digest = name"), "left_semi")
+    return without(kept, again).unionByName(single.dropDuplicates(["doc_id", "digest"]).select("row.*"))
