@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, jaccard, mixing, quality, sharding
+from tidewheel.llm import decontaminate, mixing, quality, sharding, simhash
 from tidewheel.llm.common import cut, without
 from tidewheel.llm.queries import MIX_SEED, MIX_WEIGHTS, SHARDS, domain_of, table
 
@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
-    return jaccard.representatives(docs)
+    return simhash.similar_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
