@@ -23,8 +23,8 @@ def share_out(budget, children):
     return out
 
 
-def brute(rows, weights, ratio, epochs, seed):
-    docs = [(("d" + str(len(r[3] or "") % 2)), r[2] or "", r[3] or "", r[0], len((r[1] or "").encode().split())) for r in rows]
+def brute(rows, weights, ratio, epochs, seed, domain=lambda r: "d" + str(len(r[3] or "") % 2)):
+    docs = [(domain(r), r[2] or "", r[3] or "", r[0], len((r[1] or "").encode().split())) for r in rows]
     tokens = {}
     for d, lang, s, _, n in docs:
         tokens[d, lang, s] = tokens.get((d, lang, s), 0) + n

@@ -1,17 +1,19 @@
+import hashlib
 import os
+import re
 
 import pytest
 
 import corpus_pipeline
 from tidewheel.llm import quality, sharding
-from tidewheel.llm.queries import MIX_SEED, MIX_WEIGHTS, SHARDS, domain_of, table
+from tidewheel.llm.queries import DOMAINS, MIX_SEED, MIX_WEIGHTS, SHARDS, table
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    from tests.llm import test_decontaminate, test_simhash
+    from tests.llm import test_decontaminate, test_jaccard, test_mixing, test_sharding
 
     docs = table(spark, SF, "documents")
     rows = [tuple(r) for r in docs.collect()]
@@ -35,29 +37,28 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(r[0] for r in got) == sorted(r[0] for r in good) and 0 < len(got) < len(rows)
 
     first = {}
-    for r, (_, _, component) in zip(got, test_simhash.components(got), strict=True):
-        first.setdefault(component, []).append(r[0])
+    for r, group in zip(got, test_jaccard.groups(got), strict=True):
+        first[group] = min(first.get(group, r[0]), r[0])
     got = apply("near_duplicates", got)
-    assert sorted(r[0] for r in got) == sorted(first)
+    assert sorted(r[0] for r in got) == sorted(first.values())
 
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     clean = [r[0] for r, found in zip(got, test_decontaminate.brute(got, items), strict=True) if not found[-1]]
     got = apply("decontamination", got)
     assert sorted(r[0] for r in got) == sorted(clean)
 
-    from tidewheel.llm import mixing
-
-    frame = spark.createDataFrame(got, docs.schema)
-    mixed = mixing.mix(frame, MIX_WEIGHTS, corpus_pipeline.MIX_RATIO, corpus_pipeline.MIX_EPOCHS, MIX_SEED, domain_of(frame.source))
-    expected = sorted(r.doc_id for r in mixed.collect())
+    number = lambda r: re.search("([0-9]+)$", r[3] or "")
+    domain = lambda r: DOMAINS[int(number(r)[1]) % 4 if number(r) else 0]
+    expected = sorted(row[3] for row in test_mixing.brute(got, MIX_WEIGHTS, corpus_pipeline.MIX_RATIO, corpus_pipeline.MIX_EPOCHS, MIX_SEED, domain))
     words = {r[0]: len((r[1] or "").encode().split()) for r in got}
     got = apply("mixing", got)
     assert sorted(r[0] for r in got) == expected
     assert 0.5 * sum(words.values()) < sum(words[r[0]] for r in got) <= corpus_pipeline.MIX_RATIO * sum(words.values())
 
     placed = apply("sharding", got)
-    lookup = sharding.lookup_table(SHARDS)
-    assert len(placed) == len(got) and all(lookup[r[-2]] == r[-1] for r in placed)
+    lookup = test_sharding.brute(SHARDS, sharding.TABLE_SIZE)
+    slot = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+    assert [(r[0], r[-2], r[-1]) for r in sorted(placed)] == [(i, slot(i), lookup[slot(i)]) for i in expected]
 
 
 def test_empty(spark):

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidewheel.llm import substrings
 
@@ -26,12 +27,26 @@ def test_against_brute_force(docs, rows, same):
     same(substrings.repeated_words(docs), COLUMNS, brute(rows, 35))
 
 
-def test_short_windows_and_crowded_keys(docs, rows, same, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 2, 8])
+def test_short_windows_and_crowded_keys(docs, rows, same, monkeypatch, levels):
+    """Keys of over two segments are divided, by one to seven more hashes, and then window by window."""
     monkeypatch.setattr(substrings, "KEY_SEGMENTS", 2)
     monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 20)
+    monkeypatch.setattr(substrings, "LEVELS", levels)
     same(substrings.repeated_words(docs, window=6, gram=2), COLUMNS, brute(rows, 6))
 
 
+def test_long_words_and_invalid_bytes(spark, same):
+    words = [f"w{i}" for i in range(60)]
+    words[7] = "x" * 100_000
+    other = [*words[:7], "x" * 99_999 + "y", *words[8:]]
+    long = [" ".join(words), " ".join(words), " ".join(other), " ".join(["z" * 64, *words[1:50]]), " ".join(words[40:])]
+    same(substrings.repeated_words(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")), COLUMNS, brute(list(enumerate(long)), 35))
+    frame = spark.sql("select id doc_id, cast(concat(unhex('FF20'), encode(repeat('a b c ', 20), 'utf-8')) as string) text from range(2)")
+    fixed = "\ufffd " + "a b c " * 20
+    same(substrings.repeated_words(frame), COLUMNS, brute([(0, fixed), (1, fixed)], 35))
+
+
 def test_empty(nothing):
     assert substrings.repeated_words(nothing).count() == 0
 

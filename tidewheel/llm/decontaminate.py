@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, digest, in_bitmap, map_texts
+from .common import bitmap, cut, digest, in_bitmap, map_texts, releases
 
 #: Letters A-Z fall to a-z; other ASCII but letters and digits separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -97,6 +97,7 @@ def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return cut(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
+@releases
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Which words of each document lie in an occurrence of a window of a benchmark item.
 
@@ -104,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     strings, sorted), ``contaminated``, ``digest`` (of the text). Words: A-Z lower-cased, runs of ASCII letters, digits and characters beyond
     ASCII.
 
-    Null and wordless texts have no words and no hits; null and wordless items have no windows; an item without an id
+    Bytes that are no UTF-8 are read as replacement characters, on both sides. Null and wordless texts have no words and no hits; null and wordless items have no windows; an item without an id
     counts under the empty one; rows that share an id or a text are judged each for itself. An empty table on either
     side gives no hits. Extra columns are left out.
     """

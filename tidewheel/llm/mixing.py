@@ -8,7 +8,7 @@ largest of (budget - capacity of the earlier ones) / (weight of this and the lat
 per parent finds it; nothing is iterated and nothing reaches the driver but the corpus' token count.
 
 A leaf repeats its documents for whole epochs while its budget lasts; in the last one it takes the prefix that fits, in
-that epoch's seeded order. The prefix's end is found by sums over 256 ranges of the order's key, and then within
+that epoch's seeded order. The prefix's end is found by sums over 65,536 ranges of the order's key, and then within
 the one range where the budget ends, so a leaf with a third of all rows is spread over many tasks.
 """
 
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, md5_long
+from .common import cut, md5_long, packed, releases
 
 LEVELS = ("domain", "lang", "source")
-RANGE_BITS = 8
+RANGE_BITS = 16
 KEY_BITS = 60
 
 
@@ -116,12 +116,13 @@ def plan(docs: DataFrame, weights: Mapping[tuple, int], ratio: float, epochs: in
     return cut(goals.join(ends, list(levels), "left").select(*levels, "full", F.coalesce("last_key", F.lit(-1)).alias("last_key")))
 
 
+@releases
 def mix(docs: DataFrame, weights: Mapping[tuple, int], ratio: float = 0.5, epochs: int = 2, seed: int = 17, domain: Column | None = None, levels: Sequence[str] = LEVELS) -> DataFrame:
     """The rows of ``docs`` that the budgets select, one for each epoch in which a row is taken.
 
     ``ratio`` of the corpus' words is the budget, ``epochs`` the most times that a row can be taken. ``domain`` is the
     column of the tree's first level where docs has none of that name. Returns the columns of docs and, in front, ``__domain``,
-    ``__epoch`` (from 0) and ``__tokens``.
+    ``__epoch`` (from 0) and ``__tokens``, which replace columns of these names.
 
     A prefix ends before the first document that would exceed its leaf's budget. Rows that tie in the order's key (repeated
     ids) are taken together or not at all. Null levels form a leaf of their own, the empty name; null texts have no
@@ -130,18 +131,14 @@ def mix(docs: DataFrame, weights: Mapping[tuple, int], ratio: float = 0.5, epoch
     """
     own = {"domain": domain if domain is not None else F.col("domain")} if "domain" in levels else {}
     names = [f"__{x}" for x in levels]
-    marked = docs.select(
-        *(F.coalesce(own.get(x, F.col(x)).cast("string"), F.lit("")).alias(n) for x, n in zip(levels, names, strict=True)),
-        count_words(F.col("text")).alias("__tokens"),
-        *(F.col(c) for c in docs.columns),
-    )
-    counted = cut(marked.select(*names, "doc_id", F.col("__tokens").alias("n_tokens")))
+    keyed = [F.coalesce(own.get(x, F.col(x)).cast("string"), F.lit("")).alias(n) for x, n in zip(levels, names, strict=True)]
+    counted = cut(docs.select(*keyed, F.col("doc_id").alias("doc_id"), count_words(F.col("text")).alias("n_tokens")))
     goals = plan(counted, weights, ratio, epochs, seed, names)
+    marked = packed(docs, *keyed, F.col("doc_id").alias("doc_id"), "text")
     # one row a leaf: Spark broadcasts it where its files are small enough, and else shuffles
-    joined = marked.join(goals.withColumnsRenamed({"full": "__full", "last_key": "__last"}), names)
-    key = order_key(seed, F.col("__full"), F.col("doc_id"))
-    taken = F.when(key <= F.col("__last"), F.col("__full")).otherwise(F.col("__full") - 1)
-    return (
-        joined.withColumn("__epoch", F.explode(F.when(taken >= 0, F.sequence(F.lit(0).cast("long"), taken))))
-        .select("__domain", "__epoch", "__tokens", *(F.col(c) for c in docs.columns))
-    )
+    joined = marked.join(goals, names)
+    key = order_key(seed, F.col("full"), F.col("doc_id"))
+    taken = F.when(key <= F.col("last_key"), F.col("full")).otherwise(F.col("full") - 1)
+    made = joined.where(taken >= 0).withColumn("n_tokens", count_words(F.col("text"))).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), taken)))
+    marks = {"__domain": "__domain", "epoch": "__epoch", "n_tokens": "__tokens"}
+    return made.select(*(F.col(n).alias(m) for n, m in marks.items() if n in made.columns), *(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in marks.values()))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, valid
 
 #: Statistics of a document, in order.
 STATISTICS = (
@@ -164,13 +164,13 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; nothing is shuffled. Null texts count as empty ones."""
 
     @F.pandas_udf("double")
     def scored(texts):
         return pd.Series(model.scores(np.array([statistics((t or "").encode()) for t in texts])) if len(texts) else [])
 
-    return docs.where(scored(F.coalesce("text", F.lit(""))) >= threshold)
+    return docs.where(scored(F.coalesce(valid(), F.lit(""))) >= threshold)
 
 
 def held_out(doc_id: str = "doc_id"):

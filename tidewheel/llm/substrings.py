@@ -11,11 +11,14 @@ extended to the left while it occurs more than once, copies of segments counted;
 there. Of length 35 or more, all windows in it are repeated. The search goes on from the next end that can
 still matter.
 
-A minimizer with more than KEY_SEGMENTS different segments is counted window by window instead, which spreads.
+A minimizer with more than KEY_SEGMENTS different segments is divided: its windows get a second minimizer by another hash, a third where that
+isn't enough, and so on, and are dealt anew by all of them. Equal windows still agree in each, so they stay together. After LEVELS hashes the
+window's whole text is the key.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -27,15 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, digest, in_bitmap, map_texts, slices
+from .common import bitmap, bitmap_pieces, cut, digest, in_bitmap, map_texts, possible, releases, slices, valid
 
 WINDOW, GRAM = 35, 8
 #: Bits of the bitmap of repeated minimizers: 16 MB, whatever the corpus' size.
 MINIMIZER_BITS = 1 << 27
-#: Different segments in a shard, about, and of one minimizer, at most.
+#: Different segments in a shard, about, and of one key, about, before it is divided.
 SHARD_SEGMENTS, KEY_SEGMENTS = 8_192, 16_384
-#: Keys with too many segments that go to all executors, at most: under a MB.
-BROADCAST_KEYS = 50_000
+#: Hashes by which a key's windows are divided.
+LEVELS = 8
+#: Longest word in bytes that segments hold; of a longer one they hold a digest, which is longer than any word that stays.
+LONGEST_WORD = 64
 #: Different words of which a task remembers the hashes.
 REMEMBERED = 200_000
 
@@ -50,10 +55,10 @@ class _Hashes(dict):
         return value
 
 
-def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of several documents' words: document, minimizer, first and last window start in the document.
 
-    All documents go through one pass over their joined words; windows across a border are left out.
+    All documents go through one pass over their joined words; windows across a border are left out. Each ``level`` has a hash of its own.
     """
     sizes = np.fromiter(map(len, documents), np.int64, len(documents))
     total = int(sizes.sum())
@@ -70,6 +75,9 @@ def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: i
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
             g = (g ^ (g >> np.uint64(shift))) * np.uint64(factor)
         g ^= g >> np.uint64(29)
+        if level:
+            g = (g ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            g ^= g >> np.uint64(32)
     # place of the leftmost least gram in every stretch of a window's grams
     at, width, grams = np.arange(len(g)), 1, window - gram + 1
     while 2 * width <= grams:
@@ -200,6 +208,55 @@ def judge_shard(texts: list[str], copies: np.ndarray, window: int) -> list[list[
     return [sorted(set(x)) for x in out]
 
 
+def _short(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST_WORD else b"\x1f" + hashlib.sha256(word).hexdigest().encode()
+
+
+def _divided(found: DataFrame, window: int, gram: int, level: int) -> DataFrame:
+    """Segments cut further, by the minimizers of a level; of the last one into single windows, each a key of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for cols in slices(batches, "words"):
+            documents = [w.split(b" ") for w in cols["words"]]
+            if level < LEVELS:
+                who, keys, first, last = segments(documents, hashes, window, gram, level)
+                parts = zip(who.tolist(), keys.tolist(), first.tolist(), last.tolist(), strict=True)
+            else:
+                parts = ((d, None, i, i) for d, words in enumerate(documents) for i in range(len(words) - window + 1))
+            out: dict[str, list] = {"doc_id": [], "digest": [], "key": [], "start": [], "words": []}
+            for d, k, a, b in parts:
+                words = b" ".join(documents[d][a : b + window])
+                both = xxhash.xxh64_intdigest(cols["key"][d].to_bytes(8, "little", signed=True) + (words if k is None else k.to_bytes(8, "little")), level)
+                for name, value in (("doc_id", cols["doc_id"][d]), ("digest", cols["digest"][d]), ("key", both - (1 << 64) if both >> 63 else both), ("start", cols["start"][d] + a), ("words", words.decode())):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["digest"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["words"])], names=list(out))
+
+    return found.mapInArrow(run, "doc_id long, digest long, key long, start int, words string")
+
+
+def _dealt(found: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments (doc_id, digest, key, start, words) so divided that no key has many different ones; the different ones (key, words, n); and per
+    key their number ``m`` and the ``most`` copies of one.
+
+    Keys are told apart by a bitmap of fixed size, so no text is shuffled; a key that it takes for a crowded one is divided, too.
+    """
+    out = []
+    for level in range(LEVELS + 1):
+        different = cut(found.groupBy("key", "words").agg(F.count(F.lit(1)).alias("n")))
+        keys = cut(different.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")))
+        crowded = keys.where(F.col("m") > KEY_SEGMENTS).select("key")
+        if level == LEVELS or crowded.isEmpty():
+            out.append((found, different, keys))
+            break
+        pieces = cut(bitmap_pieces(crowded))
+        apart = lambda df, pieces=pieces: [possible(df, F.col("key"), pieces).where(f"{no} __maybe").drop("__maybe") for no in ("not", "")]
+        stay, go = apart(found)
+        out.append((stay, apart(different)[0], apart(keys)[0]))
+        found = cut(_divided(go, window, gram, level + 1))
+    return tuple(functools.reduce(DataFrame.unionByName, parts) for parts in zip(*out, strict=True))
+
+
 def _count_minimizers(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -224,7 +281,7 @@ def _scan(docs: DataFrame, repeated: bytes, window: int, gram: int) -> DataFrame
             at = np.nonzero(in_bitmap(bits, keys))[0]
             found: list[list[dict]] = [[] for _ in documents]
             for d, k, a, b in zip(who[at].tolist(), keys[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True):
-                found[d].append({"key": k, "start": a, "words": b" ".join(documents[d][a : b + window]).decode()})
+                found[d].append({"key": k, "start": a, "words": b" ".join(map(_short, documents[d][a : b + window])).decode()})
             counts = list(map(len, documents))
             whole = [hashlib.sha256(b" ".join(words)).hexdigest() for words in documents]
             yield pa.RecordBatch.from_arrays(
@@ -235,13 +292,11 @@ def _scan(docs: DataFrame, repeated: bytes, window: int, gram: int) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, digest long, n_words long, kept_sha256 string, segments array<struct<key:long,start:int,words:string>>")
 
 
-def _judge(different: DataFrame, window: int) -> DataFrame:
-    """``different`` (key, words, n) with ``starts`` (array), where it isn't empty: by FM-indexes, or by counting for keys with too
-    many segments."""
-    keys = cut(different.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")))
+def _judge(different: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """``different`` (key, words, n) with ``starts`` (array), where it isn't empty, by the shards' FM-indexes."""
     # a key with one segment that occurs once has no repeated window
-    usual = keys.where(f"m <= {KEY_SEGMENTS} and (m > 1 or most > 1)")
-    total = usual.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    worth = cut(keys.where("m > 1 or most > 1"))
+    total = worth.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // SHARD_SEGMENTS)))).cast("int")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,36 +309,25 @@ def _judge(different: DataFrame, window: int) -> DataFrame:
                 starts[i] = found
         return pd.DataFrame({"key": pdf.key, "words": pdf.words, "starts": starts})[[len(x) > 0 for x in starts]]
 
-    indexed = different.join(usual.select("key", "m"), "key").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "key long, words string, starts array<int>")
-    crowded = keys.where(f"m > {KEY_SEGMENTS}").select("key")
-    many = crowded.count()
-    if not many:
-        return indexed
-    if many <= BROADCAST_KEYS:  # then no text is shuffled, and a key's segments stay where they are
-        crowded = F.broadcast(crowded)
-    windows = different.join(crowded, "key").select(
-        "key", "words", "n", F.posexplode(F.expr(f"transform(sequence(1, size(split(words, ' ')) - {window} + 1), i -> md5(cast(array_join(slice(split(words, ' '), i, {window}), ' ') as binary)))")).alias("start", "w")
-    )
-    often = cut(windows.groupBy("key", "w").agg(F.sum("n").alias("times")).where("times > 1").select("key", "w"))  # a table, so that the join can split a common window
-    counted = windows.join(often, ["key", "w"]).groupBy("key", "words").agg(F.collect_set("start").alias("starts"))
-    return indexed.unionByName(counted)
+    return different.join(worth.select("key", "m"), "key").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "key long, words string, starts array<int>")
 
 
+@releases
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Which words of each document lie in a window of ``window`` words that occurs elsewhere, the same document included.
 
     Returns one row per row of ``docs``: ``doc_id``, ``digest`` (of the text), ``n_words``, ``n_removed``, ``kept_sha256`` (of the other
     words, joined by one space). Words: `[^\\x20\\x09-\\x0D]+`, unchanged.
 
-    Null and empty texts, and those with fewer words than a window, lose nothing. Rows with equal texts repeat each other, under
+    Null and empty texts, and those with fewer words than a window, lose nothing. Bytes that are no UTF-8 are read as replacement characters. Rows with equal texts repeat each other, under
     one id or two, and lose every word that a window covers. Empty tables give empty results. Extra columns are left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), valid().alias("text"))
     counts = _count_minimizers(rows.select("text"), window, gram).groupBy("key").agg(F.sum("n").alias("n"))
     each = cut(_scan(rows, bitmap(counts.where("n > 1").select("key"), MINIMIZER_BITS), window, gram))
     found = each.select("doc_id", "digest", F.explode("segments").alias("s")).select("doc_id", "digest", "s.key", "s.start", "s.words")
-    different = cut(found.groupBy("key", "words").agg(F.count(F.lit(1)).alias("n")))
-    judged = cut(_judge(different, window).select("key", F.xxhash64("words").alias("words_digest"), "starts"))
+    found, different, keys = _dealt(found, window, gram)
+    judged = cut(_judge(different, keys, window).select("key", F.xxhash64("words").alias("words_digest"), "starts"))
     hits = (
         found.select("doc_id", "digest", "key", "start", F.xxhash64("words").alias("words_digest"))
         .join(judged, ["key", "words_digest"])

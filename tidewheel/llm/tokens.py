@@ -14,19 +14,19 @@ from __future__ import annotations
 import functools
 import os
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import SLICE_BYTES, cut, releases, slices, valid
 
 #: Pre-tokens in the broadcast, and their longest length in bytes: 32 MB at the very most.
 HEAD, HEAD_BYTES = 1 << 17, 256
-#: Distinct pre-tokens that a task gathers before it hands on their counts.
-GATHER = 150_000
+#: Distinct pre-tokens that a task gathers before it hands on their counts, and bytes of text.
+GATHER, GATHER_BYTES = 150_000, 64 << 20
 
 #: The pattern that byte-level BPE vocabularies of this family are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,19 +86,27 @@ def _texts(cols: dict) -> Iterator[str]:
 def _vocabulary(texts: DataFrame, spec) -> DataFrame:
     """``p`` (pre-token) and ``n`` (occurrences), once per distinct pre-token."""
 
-    def rows(counts: Counter) -> Iterable[pa.RecordBatch]:
-        keys, values = list(counts), list(counts.values())
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), pa.array(values[i : i + 50_000], pa.int64())], names=["p", "n"])
+    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
+        """In batches that long pre-tokens end early."""
+        keys, values, size = [], [], 0
+        for p, n in counts.items():
+            keys.append(p)
+            values.append(n)
+            size += len(p) + 16
+            if size > SLICE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.int64())], names=["p", "n"])
+                keys, values, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.int64())], names=["p", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, counts = pretokens(spec.value), Counter()
+        cutter, counts, size = pretokens(spec.value), Counter(), 0
         for cols in slices(batches, "text"):
             for text in _texts(cols):
                 counts.update(cutter.of(text)[0])
-            if len(counts) > GATHER:
+            size += sum(map(len, cols["text"]))
+            if len(counts) > GATHER or size > GATHER_BYTES:
                 yield from rows(counts)
-                counts = Counter()
+                counts, size = Counter(), 0
         yield from rows(counts)
 
     return texts.mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
@@ -109,11 +117,9 @@ def _pieces(vocabulary: DataFrame, spec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = pretokens(spec.value)
-        for batch in batches:
-            for i in range(0, len(batch), 20_000):
-                part = batch.slice(i, 20_000)
-                pieces = pa.array(cutter.pieces(part.column(0).to_pylist()), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pieces], names=["p", "n", "pieces"])
+        for cols in slices(batches, "p"):
+            found = [p.decode() for p in cols["p"]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(cols["n"], pa.int64()), pa.array(cutter.pieces(found), pa.int32())], names=["p", "n", "pieces"])
 
     return vocabulary.mapInArrow(run, "p string, n long, pieces int")
 
@@ -130,13 +136,14 @@ def _most_frequent(table: DataFrame) -> DataFrame:
     return short.where(F.col("size") >= least) if least is not None else short.limit(0)
 
 
+@releases
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """Tokens of every row of ``docs`` (doc_id, text) as the tokenizer of the file ``tokenizer`` (tokenizers' JSON) gives them.
 
     Nothing is added at the ends; special strings inside texts are one token each, as is the library's default. Returns one row
     per row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit``).
 
-    Null texts are empty: 0 bytes, 0 tokens. Rows that share an id or a text are counted each for itself. Empty tables give
+    Null texts are empty: 0 bytes, 0 tokens. Bytes that are no UTF-8 are read, and counted, as replacement characters. Rows that share an id or a text are counted each for itself. Empty tables give
     empty results. Extra columns are left out.
     """
     spark = docs.sparkSession
@@ -144,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
         text = f.read()
     pretokens(text)  # fails here, not in a task
     spec = spark.sparkContext.broadcast(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(valid(), F.lit("")).alias("text"))
     table = cut(_pieces(_vocabulary(rows.select("text"), spec), spec))
     head = spark.sparkContext.broadcast({r.p: r.pieces for r in _most_frequent(table).select("p", "pieces").toLocalIterator()})
     target = "doc_id long, n_bytes long, n_head long, tail array<struct<p:string,n:int>>"
