@@ -8,8 +8,8 @@ largest of (budget - capacity of the earlier ones) / (weight of this and the lat
 per parent finds it; nothing is iterated and nothing reaches the driver but the corpus' token count.
 
 A leaf repeats its documents for whole epochs while its budget lasts; in the last one it takes the prefix that fits, in
-that epoch's seeded order. The prefix's end is found by sums over 65,536 ranges of the order's key, and then within
-the one range where the budget ends, so a leaf with a third of all rows is spread over many tasks.
+that epoch's seeded order. The prefix's end is found by sums over 256 ranges of the order's key, over the 256 parts of
+the one where the budget ends, and then within that part, so a leaf with a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, md5_long, packed, releases
 
 LEVELS = ("domain", "lang", "source")
-RANGE_BITS = 16
+RANGE_BITS, STEP_BITS = 16, 8
 KEY_BITS = 60
 
 
@@ -93,19 +93,19 @@ def plan(docs: DataFrame, weights: Mapping[tuple, int], ratio: float, epochs: in
         .withColumn("full", F.expr("share div tokens"))
         .select(*levels, "full", (F.col("share") - F.col("full") * F.col("tokens")).alias("rest"))
     )
-    keyed = (
-        docs.join(goals.where("rest > 0"), list(levels))
-        .select(*levels, "rest", "n_tokens", order_key(seed, F.col("full"), F.col("doc_id")).alias("key"))
-        .withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS))
-    )
-    ranges = keyed.groupBy(*levels, "rest", "range").agg(F.sum("n_tokens").alias("tokens"))
+    keyed = docs.join(goals.where("rest > 0"), list(levels)).select(*levels, "n_tokens", order_key(seed, F.col("full"), F.col("doc_id")).alias("key"))
+    # in which range of the key the budget ends, and what is left of it there: first among 256, then among the 256 parts of that one
+    edge = goals.where("rest > 0").select(*levels, F.lit(0).cast("long").alias("edge"), F.col("rest").alias("room"))
     upto = W.partitionBy(*levels).orderBy("range")
-    edge = (
-        ranges.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens"))
-        .where("before <= rest and before + tokens > rest")
-        .select(*levels, F.col("range").alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
-    )
-    inside = keyed.join(edge, list(levels)).where("range = edge")
+    for bits in range(0, RANGE_BITS, STEP_BITS):
+        inside = keyed.join(edge, list(levels)).where(F.shiftright("key", KEY_BITS - bits) == F.col("edge"))
+        ranges = inside.groupBy(*levels, "room", F.shiftright("key", KEY_BITS - bits - STEP_BITS).alias("range")).agg(F.sum("n_tokens").alias("tokens"))
+        edge = cut(
+            ranges.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens"))
+            .where("before <= room and before + tokens > room")
+            .select(*levels, F.col("range").alias("edge"), (F.col("room") - F.col("before")).alias("room"))
+        )
+    inside = keyed.join(edge, list(levels)).where(F.shiftright("key", KEY_BITS - RANGE_BITS) == F.col("edge"))
     along = W.partitionBy(*levels).orderBy("key").rangeBetween(W.unboundedPreceding, 0)
     ends = (
         inside.withColumn("sum", F.sum("n_tokens").over(along))
