@@ -58,10 +58,10 @@ _fanged_ips = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])
 _dotted_cards = re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])").finditer
 _bare_phones = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])").finditer
 
-_keyed = re.compile(r"""(?i)(?:token|secret|key|passwd|password|passwort|pwd|bearer|credential)s?["']?[ \t]{0,3}(?:=>|:=|=|:)?[ \t]{0,3}["']?(?<=[ \t=:>"'])([^\s"'`<>()|,;]{6,256})""").finditer
+_keyed = re.compile(r"""(?ia)(?:token|secret|key|passwd|password|passwort|pwd|bearer|credential)s?["']?[ \t]{0,3}(?:=>|:=|=|:)?[ \t]{0,3}["']?(?<=[ \t=:>"'])([^\s"'`<>()|,;]{6,256})""").finditer
 _made_keys = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9]{20,80}|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9_-])").finditer
 _ibans = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])").finditer
-_accounts = re.compile(r"(?i)(?:account|acct|konto|compte|cuenta)[^\n0-9]{0,16}([0-9](?:[ -]?[0-9]){6,17})(?![0-9])").finditer
+_accounts = re.compile(r"(?ia)(?:account|acct|konto|compte|cuenta)[^\n0-9]{0,16}([0-9](?:[ -]?[0-9]){6,17})(?![0-9])").finditer
 _names = re.compile(r"(?<!\w)[A-ZÀ-Þ][a-zà-ÿ]{0,20}\.?(?: [A-ZÀ-Þ][a-zà-ÿ'-]{1,20}){1,3}").finditer
 _streets = re.compile(
     r"(?<![\w.])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Way|Court|Square)(?!\w)"
@@ -70,6 +70,11 @@ _streets = re.compile(
     r"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino) (?:de la |de los |del |de )?[A-ZÀ-Þ][\wà-ÿ]{1,24},? [0-9]{1,4}(?!\w)"
 ).finditer
 
+# a text without any of these has no such span
+ACCOUNT_WORDS = ("account", "acct", "konto", "compte", "cuenta")
+KEY_WORDS = ("token", "secret", "key", "passw", "pwd", "bearer", "credential")
+_street_word = re.compile(r" St|Av|Road|Rd|Lane|Ln|Drive|B(?:oul|lv)|Way|Court|Sq|stra[ßs]|weg|platz|allee|gasse|ring |rue |avenue |boulevard |place |chemin |quai |Calle|Plaza|Paseo|Camino").search
+
 # gazetteers and context words: fixed values
 COUNTRY_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "98")
 MAIL_HOSTS = ("mail", "post", "inbox", "yahoo", "outlook", "proton")
@@ -156,7 +161,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 def loose_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern) of the looser patterns' matches; pattern: 1 where the form says it all but certainly, else 0."""
-    out = []
+    out, low = [], text.lower()
     if "(at" in text or "[at" in text or "( at" in text or "[ at" in text:
         out += [(m.start(), EMAIL, m.end(), 0) for m in _at_emails(text)]
     if _digit(text):
@@ -165,10 +170,12 @@ def loose_spans(text: str) -> list[tuple[int, int, int, int]]:
         out += [(m.start(), CARD, m.end(), 0) for m in _dotted_cards(text)]
         out += [(m.start(), PHONE, m.end(), 0) for m in _bare_phones(text)]
         out += [(m.start(), ACCOUNT, m.end(), 1) for m in _ibans(text)]
-        out += [(m.start(1), ACCOUNT, m.end(1), 0) for m in _accounts(text)]
+        if any(w in low for w in ACCOUNT_WORDS):
+            out += [(m.start(1), ACCOUNT, m.end(1), 0) for m in _accounts(text)]
         out += [(m.start(), SECRET, m.end(), 0 if m.group().startswith(KEY_PREFIXES) else -1) for m in _made_keys(text)]  # bare hex may be a digest
-        out += [(m.start(), STREET, m.end(), 0) for m in _streets(text)]
-    for m in _keyed(text):
+        if _street_word(text):
+            out += [(m.start(), STREET, m.end(), 0) for m in _streets(text)]
+    for m in _keyed(text) if any(w in low for w in KEY_WORDS) else ():
         value, sure = m.group(1).rstrip(".!?:*#$%&"), text[m.start() : m.start(1)].rstrip(" \t\"'")[-1:] in ("=", ":", ">")
         if sure or len(value) >= 12 and _digit(value):  # else the words may be anything
             out.append((m.start(1), SECRET, m.start(1) + len(value), int(sure)))
