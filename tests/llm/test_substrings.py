@@ -76,18 +76,24 @@ def test_wavelet_matrix_ranks():
         assert counts.tolist() == np.bincount(symbols[:at], minlength=37).tolist()
 
 
+def test_word_hashes():
+    words = [b"a", b"b", b"ab", b"ba", b"a", b"\0", b"\0\0", b"x" * 3_000_000, b"x" * 2_999_999 + b"y", "é".encode(), b"ab"]
+    found = substrings.word_hashes(words)
+    assert len(set(found.tolist())) == 9 and found[0] == found[4] and found[2] == found[10]
+    assert (substrings.word_hashes(words[::-1])[::-1] == found).all() and substrings.word_hashes([b"ba"])[0] == found[3]
+
+
 def test_equal_windows_share_their_minimizer():
     rng = random.Random(1)
     shared = [f"s{i}".encode() for i in range(80)]
-    hashes = substrings._Hashes()
     keys = []
     documents = [[str(rng.random()).encode() for _ in range(50)] + shared + [str(rng.random()).encode() for _ in range(50)] for _ in range(2)]
     documents[1:1] = [[], [b"few", b"words"], shared[:35], shared[:34]]
-    who, key, first, last = substrings.segments(documents, hashes, 35, 8)
+    who, key, first, last = substrings.segments(documents, 35, 8)
     for d, words in enumerate(documents):
         by_start = {s: k for w, k, a, b in zip(who.tolist(), key.tolist(), first.tolist(), last.tolist(), strict=True) if w == d for s in range(a, b + 1)}
         assert sorted(by_start) == list(range(len(words) - 34))
         if len(words) > 100:
             keys.append([by_start[s] for s in range(50, 50 + 80 - 34)])
     assert keys[0] == keys[1]
-    assert substrings.segments([[]], hashes, 35, 8)[0].tolist() == []
+    assert substrings.segments([[]], 35, 8)[0].tolist() == []

@@ -41,21 +41,32 @@ SHARD_SEGMENTS, KEY_SEGMENTS = 8_192, 16_384
 LEVELS = 8
 #: Longest word in bytes that segments hold; of a longer one they hold a digest, which is longer than any word that stays.
 LONGEST_WORD = 64
-#: Different words of which a task remembers the hashes.
-REMEMBERED = 200_000
 
 
-class _Hashes(dict):
-    """XXH64 of words, remembered."""
+#: Base of the words' hashes, which is odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+@functools.lru_cache(4)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A number for each word, by its bytes alone: differences of running sums of byte times power, turned back to the word's start. Different
+    words may share one, which costs work and no result."""
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    size = 1 << max(20, len(text).bit_length())
+    end = np.cumsum(lens + 1) - 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[: len(text)])))
+    return (sums[end] - sums[end - lens]) * _powers(_INVERSE, size)[end - lens]
+
+
+def segments(documents: list[list[bytes]], window: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of several documents' words: document, minimizer, first and last window start in the document.
 
     All documents go through one pass over their joined words; windows across a border are left out. Each ``level`` has a hash of its own.
@@ -68,7 +79,8 @@ def segments(documents: list[list[bytes]], hashes: _Hashes, window: int, gram: i
         return none, none.view(np.uint64), none, none
     base = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(documents)), np.uint64, total)
+        h = word_hashes(list(itertools.chain.from_iterable(documents)))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
         g = np.zeros(total - gram + 1, np.uint64)
         for j in range(gram):
             g = g * base + h[j : j + len(g)]
@@ -216,11 +228,10 @@ def _divided(found: DataFrame, window: int, gram: int, level: int) -> DataFrame:
     """Segments cut further, by the minimizers of a level; of the last one into single windows, each a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for cols in slices(batches, "words"):
             documents = [w.split(b" ") for w in cols["words"]]
             if level < LEVELS:
-                who, keys, first, last = segments(documents, hashes, window, gram, level)
+                who, keys, first, last = segments(documents, window, gram, level)
                 parts = zip(who.tolist(), keys.tolist(), first.tolist(), last.tolist(), strict=True)
             else:
                 parts = ((d, None, i, i) for d, words in enumerate(documents) for i in range(len(words) - window + 1))
@@ -259,9 +270,8 @@ def _dealt(found: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFra
 
 def _count_minimizers(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for cols in slices(batches, "text"):
-            keys = segments([t.split() for t in cols["text"]], hashes, window, gram)[1]
+            keys = segments([t.split() for t in cols["text"]], window, gram)[1]
             found, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
@@ -274,14 +284,15 @@ def _scan(docs: DataFrame, repeated: bytes, window: int, gram: int) -> DataFrame
     kind = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("words", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = _Hashes(), np.frombuffer(mask.value, np.uint8)
+        bits = np.frombuffer(mask.value, np.uint8)
         for cols in slices(batches, "text"):
             documents = [t.split() for t in cols["text"]]
-            who, keys, first, last = segments(documents, hashes, window, gram)
+            who, keys, first, last = segments(documents, window, gram)
             at = np.nonzero(in_bitmap(bits, keys))[0]
+            held = [list(map(_short, x)) if x and max(map(len, x)) > LONGEST_WORD else x for x in documents]
             found: list[list[dict]] = [[] for _ in documents]
             for d, k, a, b in zip(who[at].tolist(), keys[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True):
-                found[d].append({"key": k, "start": a, "words": b" ".join(map(_short, documents[d][a : b + window])).decode()})
+                found[d].append({"key": k, "start": a, "words": b" ".join(held[d][a : b + window]).decode()})
             counts = list(map(len, documents))
             whole = [hashlib.sha256(b" ".join(words)).hexdigest() for words in documents]
             yield pa.RecordBatch.from_arrays(
