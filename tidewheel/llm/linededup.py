@@ -63,7 +63,8 @@ def _joined(now: DataFrame, shift: int) -> DataFrame:
 def suffix_ranks(docs: DataFrame, min_lines: int, min_words: int) -> dict[int, DataFrame]:
     """By numbers of lines (powers of two until no suffix is repeated, and ``min_lines``) the repeated suffixes with their ranks: PLACE,
     ``rank``, and ``long``: whether the first line counts by itself."""
-    words = f"regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') >= {min_words}"
+    # words are counted only in lines that are long enough to have so many
+    words = f"octet_length(x) >= {2 * min_words - 1} and regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') >= {min_words}"
     ids = f"transform(filter({lines_of('text')}, x -> not ({_blank('x')})), x -> struct(xxhash64(x) as h1, hash(x) as h2, {words} as long))"
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.expr(ids).alias("ids")).where(F.size("ids") > 0)
     each = each.groupBy("doc_id", "digest").agg(F.first("ids").alias("ids"))
