@@ -66,7 +66,7 @@ def suffix_ranks(docs: DataFrame, min_lines: int, min_words: int) -> dict[int, D
     # words are counted only in lines that are long enough to have so many
     words = f"octet_length(x) >= {2 * min_words - 1} and regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') >= {min_words}"
     ids = f"transform(filter({lines_of('text')}, x -> not ({_blank('x')})), x -> struct(xxhash64(x) as h1, hash(x) as h2, {words} as long))"
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.expr(ids).alias("ids")).where(F.size("ids") > 0)
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.expr(ids).alias("ids"))
     each = each.groupBy("doc_id", "digest").agg(F.first("ids").alias("ids"))
     lines = cut(each.select("doc_id", "digest", F.posexplode("ids").alias("i", "id")).select(*PLACE, "id.long", "id.h1", "id.h2"))
     levels, size = {1: _repeated(lines, ["h1", "h2"])}, 1
