@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read again as the next one's docs.
 
 Quality classifier, near-duplicates, benchmark decontamination, mixing, sharding. The order puts what drops most, and
-costs a scan only, first.
+costs a scan only, first. Stages keep extra columns of any name and give empty tables for empty ones.
 """
 
 from __future__ import annotations
@@ -18,28 +18,39 @@ MIX_RATIO, MIX_EPOCHS = 0.8, 1
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant, fitted on the labelled ones outside the held-out fifth, gives 0.3 or more."""
+    """Documents that the discriminant, fitted on the labelled ones outside the held-out fifth, gives 0.3 or more.
+
+    Null texts count as empty ones, bytes that are no UTF-8 as replacement characters; equal texts fare alike; without labels all score 0.5 and
+    stay.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more.
+
+    That of the smallest doc_id stays (a null one comes last), of rows equal in id and text one. Null and wordless texts are one group.
+    """
     return simhash.similar_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. Null and wordless texts stay; an empty benchmark drops nothing."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated").select("doc_id", "digest"))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the budgets of the domain-language-source tree select, once each."""
+    """What the budgets of the domain-language-source tree select, once each.
+
+    Null levels are a leaf of their own. Null and wordless texts go with the prefix around them; a leaf without a word has no budget. Rows of
+    one id are taken together or not at all.
+    """
     return mixing.mix(docs, MIX_WEIGHTS, MIX_RATIO, MIX_EPOCHS, MIX_SEED, domain_of(F.col("source"))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its slot and shard."""
+    """Each document with its slot and shard, which replace columns of these names; a null id is placed as empty text."""
     return sharding.place(docs, SHARDS)
 
 
