@@ -29,9 +29,11 @@ ORACLES: dict[str, str] = {}
 
 #: Time columns of the tables; tables without one are static.
 TIMES = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
-#: The ranges that queries ask: 2024-01-05 to 2024-01-25, and 1996 to 1998.
-START, END = 1704412800, 1706140800
-L_START, L_END = 820454400, 915148799
+#: The ranges that requests ask: January 2024 and 1990 to 2009, which hold the whole tables.
+START, END = 1704067200, 1706745600
+L_START, L_END = 631152000, 1262303999
+#: The range that the time filter's query cuts out: 2024-01-05 to 2024-01-25.
+FROM, TO = 1704412800, 1706140800
 
 EVENTS = "(SELECT *, epoch_us(ts) // 1000000 AS _time_ FROM events)"
 LINEITEM = "(SELECT *, epoch_us(l_shipdate) // 1000000 AS _time_ FROM lineitem)"
@@ -101,7 +103,7 @@ def _filters() -> None:
         lambda q: q.apply("tagged", T.StringType(), "concat(event_type, if(user_id % 2 = 0, '_', 'x'), user_id)").where(like(col("tagged"), "%k_1%")).select(col("event_id"), col("tagged")),
         "SELECT event_id, tagged FROM (SELECT event_id, concat(event_type, CASE WHEN user_id % 2 = 0 THEN '_' ELSE 'x' END, user_id) AS tagged FROM events) WHERE contains(tagged, 'k_1')",
     )
-    fluent("filter_time_range", "events", lambda q: q.between_times(START, END).select(col("event_id"), col("_time_")), f"SELECT event_id, _time_ FROM {EVENTS} WHERE _time_ BETWEEN {START} AND {END}")
+    fluent("filter_time_range", "events", lambda q: q.between_times(FROM, TO).select(col("event_id"), col("_time_")), f"SELECT event_id, _time_ FROM {EVENTS} WHERE _time_ BETWEEN {FROM} AND {TO}")
     fluent("filter_null_rejects", "events", lambda q: q.apply("known", T.StringType(), "nullif(event_type, 'error')").where(nin(col("known"), ["click"])).select(col("event_id"), col("known")), "SELECT event_id, known FROM (SELECT event_id, nullif(event_type, 'error') AS known FROM events) WHERE known NOT IN ('click')")
     fluent("filter_in_long_list", "lineitem", lambda q: q.where(in_(col("l_orderkey"), range(0, 20000, 3))).select(col("l_orderkey"), col("l_linenumber")), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT unnest(range(0, 20000, 3)))")
     fluent("filter_not_in_long_list", "lineitem", lambda q: q.where(nin(col("l_orderkey"), range(0, 20000, 3))).select(col("l_orderkey"), col("l_linenumber")), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT unnest(range(0, 20000, 3)))")
@@ -187,7 +189,7 @@ def _aggregation() -> None:
     }
     for name, (fields, sql) in simple.items():
         fluent(name, "events", lambda q, f=fields: q.select(key, *f).groupby(1), f"SELECT event_type, {sql} FROM events GROUP BY 1")
-    fluent("agg_global", "lineitem", lambda q: q.between_times(L_START, L_END).select(count(v(1)).as_("n"), sum_(col("l_quantity")).as_("quantity"), avg(col("l_discount")).as_("discount")), f"SELECT count(*) AS n, sum(l_quantity) AS quantity, avg(l_discount) AS discount FROM {LINEITEM} WHERE _time_ BETWEEN {L_START} AND {L_END}")
+    fluent("agg_global", "lineitem", lambda q: q.select(count(v(1)).as_("n"), sum_(col("l_quantity")).as_("quantity"), avg(col("l_discount")).as_("discount")), "SELECT count(*) AS n, sum(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem")
     fluent("agg_global_empty", "lineitem", lambda q: Query(q.table, drop_empty_global=True).where(col("l_quantity") > 1e9).select(count(v(1)).as_("n"), sum_(col("l_quantity")).as_("quantity")), "SELECT count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 1e9 HAVING count(*) > 0")
     fluent("agg_multi_key", "lineitem", lambda q: q.select(col("l_returnflag"), col("l_linestatus"), sum_(col("l_quantity")).as_("quantity"), sum_(col("l_extendedprice") * (v(1.0) - col("l_discount"))).as_("revenue"), count(v(1)).as_("n")).groupby(1, 2), "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, sum(l_extendedprice * (1.0::DOUBLE - l_discount)) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
     fluent("agg_expression_key", "part", lambda q: q.select((col("p_size") / 10).as_("tens"), avg(col("p_size")).as_("size"), max_(col("p_retailprice")).as_("price")), "SELECT p_size // 10 AS tens, CAST(sum(p_size) // count(*) AS INTEGER) AS size, max(p_retailprice) AS price FROM part GROUP BY 1")
@@ -299,11 +301,13 @@ def _rest() -> None:
     register("table_state", f"SELECT 'events' AS \"table\", count(*) AS rows, min(_time_) AS min_time, max(_time_) AS max_time, 'event_type,props' AS dimensions, 'event_id,user_id,value,_time_' AS metrics FROM {EVENTS}")(state)
 
     def histograms(spark, d):
-        h = engine(spark, d, "part").catalog.table("part").histograms().where(F.col("column").isin("p_size", "p_name", "p_retailprice"))
+        h = engine(spark, d, "part").catalog.table("part").histograms()
         get = lambda p: F.get_json_object("histogram", f"$.{p}").cast("double").alias(p)
         return h.select("column", *map(get, ("count", "min", "max", "sum")))
 
-    register("column_histogram", "SELECT 'p_size' AS \"column\", count(*)::DOUBLE AS count, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, sum(p_size)::DOUBLE AS sum FROM part UNION ALL SELECT 'p_retailprice', count(*), min(p_retailprice), max(p_retailprice), sum(p_retailprice) FROM part UNION ALL SELECT 'p_name', count(*), NULL, NULL, NULL FROM part")(histograms)
+    numbers = [f"SELECT '{c}' AS \"column\", count({x})::DOUBLE AS count, min({x})::DOUBLE AS min, max({x})::DOUBLE AS max, sum({x})::DOUBLE AS sum FROM part" for c, x in (("p_partkey", "p_partkey"), ("p_size", "p_size"), ("p_retailprice", "p_retailprice"), ("_time_", "0"))]
+    texts = [f"SELECT '{c}', count({c}), NULL, NULL, NULL FROM part" for c in ("p_name", "p_brand", "p_type")]
+    register("column_histogram", " UNION ALL ".join(numbers + texts))(histograms)
     register("hash_bucket", _murmur_sql("l_orderkey", 10_000, "l_orderkey, l_linenumber", "lineitem"))(lambda spark, d: source(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hash_bucket(F.col("l_orderkey"), 10_000).alias("bucket")))
     register("time_spec_column", "SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS _time_ FROM orders")(_time_spec)
 
