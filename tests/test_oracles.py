@@ -41,6 +41,27 @@ def test_query(spark, duck, name):
     assert plain(rows, sorted(range(len(df.columns)), key=lambda i: df.columns[i])) == plain(expected, sorted(range(len(names)), key=lambda i: names[i]))
 
 
+def test_json_documents_of_many_partitions(spark, duck):
+    """As over large tables, the nations come from several partitions."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["source_json_document"](spark, SF)
+        assert len(df.inputFiles()) >= 25  # a document each
+        got = plain(df.collect(), range(3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == plain(duck.execute(ORACLES["source_json_document"]).fetchall(), range(3))
+
+
+def test_json_documents_of_bounded_size(spark, duck, monkeypatch):
+    """A nation's customers are several documents, once they are many."""
+    monkeypatch.setattr("tidewheel.queries.stored.PAGED", 40)
+    df = QUERIES["source_json_document"](spark, SF)
+    customers, nations = duck.execute("select count(*), count(distinct c_nationkey) from customer").fetchone()
+    assert customers > 80 and len(df.inputFiles()) > nations + 1
+    assert plain(df.collect(), range(3)) == plain(duck.execute(ORACLES["source_json_document"]).fetchall(), range(3))
+
+
 def test_entry(spark):
     import __spark_entry__
 

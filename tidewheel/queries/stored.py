@@ -27,6 +27,8 @@ from ..streaming import AppendStream
 #: The clock of these engines: 2024-02-01.
 NOW = 1706745600
 DAY = 86400
+#: Of how many customers each nation's share is one JSON document.
+PAGED = 250_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -74,10 +76,11 @@ def source_json(spark, d):
 
 
 def source_json_document(spark, d):
-    """Each nation's customers are one document."""
+    """Each nation's customers are one document, in a file of its own; of large tables several, so that no document grows with the table."""
     at = folder(spark)
     rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
-    rows.groupBy("c_nationkey").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal")).alias("rows")).alias("page"))).alias("value")).select("value").repartition(25).write.text(at)
+    page = F.pmod(F.xxhash64("c_custkey"), F.lit(rows.count() // PAGED + 1))
+    rows.groupBy("c_nationkey", page.alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal")).alias("rows")).alias("page"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(at)
     fields = ("c_custkey", "c_name", "c_acctbal")
     return ask(spark, {"schema": "ROW<c_custkey:bigint, c_name:string, c_acctbal:double>", "source": at, "format": "json", "json": {"rowsField": "page.rows"}, "time": {"type": "static", "value": 5}}, *map(col, fields))
 

@@ -124,7 +124,8 @@ def _variant_path(name: str) -> str:
 
 
 def read_json(spark: SparkSession, paths: Paths, schema: T.StructType, props: JsonProps = JsonProps()) -> DataFrame:  # noqa: B008
-    """JSON: an object per line; or, with ``rows_field``, documents whose root (``[ROOT]``) or field is an array of objects.
+    """JSON: an object per line; or, with ``rows_field``, documents whose root (``[ROOT]``) or field is an array of objects. A file may hold
+    several documents, each from a new line on.
 
     Dotted names are paths. ``columns_map`` renames columns, case-insensitively: column to path. Lines that are no JSON, or repeat a key in
     one object, give rows of zeros. Each line is parsed once.
@@ -133,7 +134,8 @@ def read_json(spark: SparkSession, paths: Paths, schema: T.StructType, props: Js
     if not props.rows_field:
         lines = spark.read.text(wanted).where(F.trim("value") != "").withColumnRenamed("value", "__doc")
     else:
-        whole = spark.read.text(wanted, wholetext=True)
+        # within a document, no line ends between a closing and an opening bracket without a comma
+        whole = spark.read.text(wanted, wholetext=True).select(F.explode(F.split("value", r"(?<=[}\]])[ \t\r]*\n\s*(?=[{\[])")).alias("value"))
         rows = F.col("value") if props.rows_field == "[ROOT]" else F.get_json_object("value", _path(props.rows_field))
         lines = whole.select(F.explode(F.from_json(rows, "array<string>")).alias("__doc"))
     return _parsed(lines, "__doc").select(*_of_json(schema, props.columns_map))
